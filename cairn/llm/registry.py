@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from cairn.llm import secrets
 from cairn.llm.kd_shard import op10_kd_shard
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op10_kd_shard": op10_kd_shard,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_secrets": secrets.ORACLE,
+}
