@@ -72,12 +72,12 @@ def quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
-def starts(steps: str) -> str:
-    """SQL: the sums before each element, by blocks, so that long arrays take about linear time."""
+def with_starts(df: DataFrame, steps: str, to: str) -> DataFrame:
+    """Adds the sums before each element: over whole blocks, then within the element's block, so that long arrays take about linear time."""
     b = BLOCK
-    return f"""transform({steps}, (x, i) ->
-        aggregate(slice(transform(sequence(0, size({steps}) div {b}), k -> aggregate(slice({steps}, k * {b} + 1, {b}), 0L, (a, y) -> a + y)), 1, i div {b}), 0L, (a, y) -> a + y)
-        + aggregate(slice({steps}, (i div {b}) * {b} + 1, i % {b}), 0L, (a, y) -> a + y))"""
+    df = df.withColumn("blocks", F.expr(f"transform(sequence(0, size({steps}) div {b}), k -> aggregate(slice({steps}, int(k * {b} + 1), {b}), 0L, (a, y) -> a + y))"))
+    df = df.withColumn("before", F.expr("transform(blocks, (x, k) -> aggregate(slice(blocks, 1, k), 0L, (a, y) -> a + y))"))
+    return df.withColumn(to, F.expr(f"transform({steps}, (x, i) -> before[int(i div {b})] + aggregate(slice({steps}, int((i div {b}) * {b} + 1), i % {b}), 0L, (a, y) -> a + y))")).drop("blocks", "before")
 
 
 def located(df: DataFrame, kind: str, pattern: str, keep: str = "true") -> DataFrame:
@@ -86,7 +86,7 @@ def located(df: DataFrame, kind: str, pattern: str, keep: str = "true") -> DataF
     df = df.withColumn("m", F.expr(f"regexp_extract_all(text, {quoted(pattern)}, 0)"))
     df = df.withColumn("g", F.expr(f"if(size(m) = 0, cast(array() as array<string>), split(text, {quoted(pattern)}, -1))"))
     df = df.withColumn("steps", F.expr("transform(m, (x, i) -> cast(length(g[i]) + length(x) as bigint))"))
-    df = df.withColumn("at", F.expr(f"if(size(m) = 0, cast(array() as array<bigint>), {starts('steps')})"))
+    df = with_starts(df, "steps", "at")
     return df.withColumn(kind, F.expr(f"if(size(m) = 0, {empty}, filter(transform(m, (x, i) -> named_struct('start', at[i] + length(g[i]), 'end', at[i] + steps[i], 'found', x)), s -> {keep}))")).drop("m", "g", "steps", "at")
 
 
@@ -94,13 +94,14 @@ def least_weight(token: str) -> str:
     """SQL: the least sum of weights of a window of the token, from counts that change by one character in and one out."""
     table_ = f"array({', '.join(f'{weight(n)}L' for n in range(WINDOW + 2))})"
     n = len(ALPHABET)
-    code = lambda at: f"instr('{ALPHABET}', substr({token}, {at}, 1)) - 1"
+    code = lambda at: f"x[{at} - 1]"
     before = lambda s, x: f"{s}.w[{s}.c[{x}]]"
     fewer = f"if(i <= {WINDOW}, s, named_struct('c', transform(s.c, (y, j) -> if(j = {code(f'i - {WINDOW}')}, y - 1, y)), 's', s.s - {before('s', code(f'i - {WINDOW}'))} + s.w[s.c[{code(f'i - {WINDOW}')}] - 1], 'b', s.b, 'w', s.w))"
     more = f"named_struct('c', transform(t.c, (y, j) -> if(j = {code('i')}, y + 1, y)), 's', t.s - {before('t', code('i'))} + t.w[t.c[{code('i')}] + 1], 'b', t.b, 'w', t.w)"
     kept = f"named_struct('c', u.c, 's', u.s, 'b', if(i >= {WINDOW}, least(u.b, u.s), u.b), 'w', u.w)"
     step = f"transform(array({fewer}), t -> transform(array({more}), u -> {kept})[0])[0]"
-    return f"aggregate(sequence(1, length({token})), named_struct('c', array_repeat(0, {n}), 's', 0L, 'b', {1 << 60}L, 'w', {table_}), (s, i) -> {step}, s -> s.b)"
+    codes = f"transform(split({token}, ''), ch -> instr('{ALPHABET}', ch) - 1)"
+    return f"transform(array({codes}), x -> aggregate(sequence(1, size(x)), named_struct('c', array_repeat(0, {n}), 's', 0L, 'b', {1 << 60}L, 'w', {table_}), (s, i) -> {step}, s -> s.b))[0]"
 
 
 def classed(token: str) -> str:
