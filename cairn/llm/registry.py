@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from cairn.llm import secrets
+from cairn.llm import decontam, secrets
 from cairn.llm.kd_shard import op10_kd_shard
+from cairn.llm.simhash import op2_simhash
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_simhash": op2_simhash,
+    "op6_decontam": decontam.op6_decontam,
     "op10_kd_shard": op10_kd_shard,
 }
 
 ORACLES: dict[str, str] = {
     "op1_secrets": secrets.ORACLE,
+    "op6_decontam": decontam.ORACLE,
 }
