@@ -110,6 +110,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, rarest: in
     return joined.select("a.doc_id", "a.h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), *(["n_near"] if slop else []))
 
 
+def clean(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int = 2) -> DataFrame:
+    """docs without the rows that hold a window of an item, with their columns."""
+    exact, _ = occurrences(docs, items, width, rarest, slop=0)
+    bad = stored(exact.select(F.col("doc_id").alias("bad_id"), F.col("h").alias("bad_h")), "decontam-found")
+    return docs.join(maybe_broadcast(bad, 32), docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_h")), "left_anti")
+
+
 def op6_decontam(spark, sf_dir: str) -> DataFrame:
     """Which benchmark items every document holds."""
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=0)

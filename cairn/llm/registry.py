@@ -5,12 +5,14 @@ from __future__ import annotations
 from cairn.llm import decontam, secrets
 from cairn.llm.kd_shard import op10_kd_shard
 from cairn.llm.packing import op3_packing
+from cairn.llm.quality import op4_quality
 from cairn.llm.simhash import op2_simhash
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op4_quality": op4_quality,
     "op6_decontam": decontam.op6_decontam,
     "op10_kd_shard": op10_kd_shard,
 }
