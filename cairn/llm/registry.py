@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cairn.llm import decontam, secrets
+from cairn.llm.ann import op9_ann
 from cairn.llm.kd_shard import op10_kd_shard
 from cairn.llm.packing import op3_packing
 from cairn.llm.quality import op4_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
     "op6_decontam": decontam.op6_decontam,
+    "op9_ann": op9_ann,
     "op10_kd_shard": op10_kd_shard,
 }
 
