@@ -187,16 +187,20 @@ def search(embeddings: DataFrame, every: int = EVERY, k: int = K, sample: int =
 
     sample_ids, sample_x = np.array([r.vec_id for r in got]), x.astype(np.float32)
 
-    def least(q: np.ndarray, i: int) -> float:
-        """What the k-th best of the sample's rows scores, which the k-th best of all rows reaches; less what rounding may take."""
-        s = (sample_x @ q.astype(np.float32))[sample_ids != i]
+    sample_leaves = tree.leaves(extended(x, norm))
+
+    def least(q: np.ndarray, i: int, to: list[int]) -> float:
+        """What the k-th best of the sample's rows in the visited leaves scores, so the k-th best of all rows there reaches it; less what rounding may take."""
+        seen = np.zeros(tree.n_leaves, bool)
+        seen[to] = True
+        s = (sample_x @ q.astype(np.float32))[seen[sample_leaves] & (sample_ids != i)]
         return float(np.partition(s, len(s) - k)[len(s) - k]) - 1e-5 * norm**2 if len(s) >= k else -1e300
 
     def walk(batches):
         for b in batches:
             for q, i, v in zip(array(b.column("v"), d), b.column("vec_id").to_pylist(), b.column("v"), strict=True):
                 to = tree.visits(np.append(q, 0.0), visits)
-                yield pa.record_batch([pa.array(to, pa.int64()), pa.array([i] * len(to), pa.int64()), pa.array([least(q, i)] * len(to)), pa.array([v.as_py()] * len(to), pa.list_(pa.float64()))], ["leaf", "query_id", "least", "q"])
+                yield pa.record_batch([pa.array(to, pa.int64()), pa.array([i] * len(to), pa.int64()), pa.array([least(q, i, to)] * len(to)), pa.array([v.as_py()] * len(to), pa.list_(pa.float64()))], ["leaf", "query_id", "least", "q"])
 
     placed = stored(rows.mapInArrow(place, "leaf long, vec_id long, v array<double>"), "ann-leaves")
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
