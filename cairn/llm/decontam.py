@@ -81,8 +81,10 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int
     held = met.join(maybe_broadcast(per_item, 16384), "item_id").select("doc_id", "h", "item_id", "start", "places", F.expr("filter(wins, w -> size(array_except(w.need, places)) = 0)").alias("wins"), F.expr("transform(filter(wins, w -> arrays_overlap(w.need, places)), w -> w.need)").alias("some"))
     candidates = held.where("size(wins) > 0").groupBy("doc_id", "h").agg(F.flatten(F.collect_list(F.expr("transform(wins, w -> struct(start + w.at as start, w.win as win, item_id))"))).alias("c"))
     candidates = stored(candidates, "decontam-candidates")
-    side = maybe_broadcast(candidates, 2048)
-    texts = docs.join(side.withColumnsRenamed({"doc_id": "d", "h": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).select("doc_id", "h", words("text").alias("w"), "c")
+    is_d = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))
+    side = candidates.withColumnsRenamed({"doc_id": "d", "h": "k"})
+    # ids first, which are few bytes and may be broadcast, so that only candidates' texts are dealt
+    texts = docs.join(maybe_broadcast(side.select("d", "k"), 48), is_d, "left_semi").join(side, is_d).select("doc_id", "h", words("text").alias("w"), "c")
     true = F.expr("transform(filter(c, x -> x.start >= 0 and slice(w, x.start + 1, size(x.win)) = x.win), x -> struct(x.start as start, size(x.win) as n, x.item_id as item_id))")
     exact = texts.select("doc_id", "h", true.alias("found")).where("size(found) > 0").groupBy("doc_id", "h").agg(F.first("found").alias("found"))
     near = proximity(held, slop) if slop else None
