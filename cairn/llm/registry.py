@@ -8,6 +8,7 @@ from cairn.llm.kd_shard import op10_kd_shard
 from cairn.llm.packing import op3_packing
 from cairn.llm.quality import op4_quality
 from cairn.llm.simhash import op2_simhash
+from cairn.llm.suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
     "op6_decontam": decontam.op6_decontam,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_ann": op9_ann,
     "op10_kd_shard": op10_kd_shard,
 }
