@@ -21,6 +21,7 @@ other; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from fractions import Fraction
 
@@ -46,44 +47,70 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+#: White space beside a space belongs with it: such texts are encoded whole.
+TOGETHER = re.compile(r"  |[^\S ] | [^\S ]|^ | $")
+
+
+def together(text: str) -> bool:
+    if text.isascii():
+        return any(x in text for x in ("  ", " \n", "\n ", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f")) or text[0] == " " or text[-1] == " "
+    return TOGETHER.search(text) is not None
+
+
+class Known(dict):
+    """The ids of words that are kept, and of those of the present batch."""
+
+    new: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.new[word]
+
+
 class Words:
-    """Ids of whole texts. No token reaches over a space between two characters that aren't white space, so words are looked up alone."""
+    """Ids of whole texts. No token reaches over a space between two characters that aren't white space, so words are looked up alone.
+
+    Unknown words are encoded as one text; the token that holds a word's space begins it.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), Known()
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        names = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(names.values()) + 1, bool)
+        self.begins[[k for name, k in names.items() if name.startswith("\u0120")]] = True
+
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def fresh(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word after a space."""
+        if not words:
+            return {}
+        ids = self.encoded(["".join([" " + w for w in words])])[0]
+        at = (4 * np.append(np.flatnonzero(self.begins[ids]), len(ids))).tolist()
+        raw = ids.tobytes()
+        return {w: raw[i:j] for w, i, j in zip(words, at[:-1], at[1:], strict=True)}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, 4 bytes each."""
         known, out, cut = self.known, [None] * len(texts), {}
         for k, t in enumerate(texts):
-            if "  " in t or any(s in t for s in self.special):
-                continue
-            first, *rest = t.split(" ")
-            words = [first, *[" " + w for w in rest]]
-            # white space beside a space belongs with it: such texts are encoded whole
-            if not any(w and (w[-1].isspace() or w[1:2].isspace()) for w in words) and words[-1] != " " and (first or len(words) == 1):
-                cut[k] = words
-        new = list({w for words in cut.values() for w in words if w not in known})
-        fresh = dict(zip(new, self.encoded(new), strict=True))
+            if t and not together(t) and not any(s in t for s in self.special):
+                cut[k] = t.split(" ")
+        new = self.fresh(list(set().union(*[w[1:] for w in cut.values()]).difference(known)))
         if len(known) < CACHE:
-            known.update(fresh)
-            fresh = known
-        else:
-            fresh = fresh | {w: known[w] for words in cut.values() for w in words if w in known}
+            known.update(new)
+        known.new, get = new, known.__getitem__
         whole = [k for k in range(len(texts)) if k not in cut]
         for k, ids in zip(whole, self.encoded([texts[k] for k in whole]), strict=True):
-            out[k] = ids
-        for k, words in cut.items():
-            out[k] = b"".join(map(fresh.__getitem__, words))
+            out[k] = ids.tobytes()
+        for (k, words), ids in zip(cut.items(), self.encoded([w[0] for w in cut.values()]), strict=True):
+            out[k] = ids.tobytes() + b"".join(map(get, words[1:]))
         return out
 
 
 WORDS: dict[str, Words] = {}
-BATCH = 256
+BATCH = 1024
 
 
 def tokens(path: str):
