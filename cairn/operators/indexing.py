@@ -19,9 +19,8 @@ def index_commits(index: dict[str, DataFrame], commits: DataFrame, edges: DataFr
     new = commits.join(index["commits"].select("ref"), "ref", "left_anti")
     sets = get_or_create(index["sets"], new.select(F.col("set").alias("name")))
     new = new.join(F.broadcast(sets.select(F.col("id").alias("set_id"), F.col("name").alias("set"))), "set")  # sets: a dimension of names
-    roots = new.select(F.col("tree").alias("ref")).distinct()
-    found = traverse(edges, roots, skip=index["trees"].select("ref", "path"))
-    placed = found.join(new.select(F.col("tree").alias("root"), "set_id").distinct(), "root")
+    roots = new.select(F.col("tree").alias("ref"), "set_id").distinct()
+    placed = traverse(edges, roots, skip=index["trees"].select("ref", "path", "set_id"))
     trees = placed.where("is_tree").select("ref", "path", "set_id")
     files = placed.where(~F.col("is_tree")).join(stats, "ref").select("path", F.col("ts").alias("timestamp"), "set_id", "ref", "size")
     return {

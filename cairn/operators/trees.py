@@ -17,23 +17,24 @@ class MissingTree(LookupError):
 
 
 def traverse(edges: DataFrame, roots: DataFrame, max_depth: int = 100, skip: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """root, path, is_tree, ref, depth of every node below the roots (column ref), parents before children by depth.
+    """root, path, is_tree, ref, depth of every node below the roots (column ref, and what else tells them apart).
 
     A level at a time: the frontier joins the edges and is checkpointed, so no plan grows with the depth.
-    skip (ref, path): sub-trees that are named, with their nodes, but not entered.
+    skip (ref, path, and any of the roots' further columns): sub-trees that are named but not entered.
     A sub-tree without edges is empty; strict: it is an error unless it is an entry of its own in edges as (ref, null name).
     """
     by_tree = edges.where("name is not null").select(F.col("tree_ref").alias("of"), "name", "is_tree", F.col("child_ref").alias("ref"))
-    front = roots.select(F.col("ref").alias("root"), F.lit("").alias("path"), F.lit(True).alias("is_tree"), "ref")
+    more = [c for c in roots.columns if c not in ("ref", "root")]
+    front = roots.select(F.col("ref").alias("root"), *more, F.lit("").alias("path"), F.lit(True).alias("is_tree"), "ref")
     found = None
     for depth in range(1, max_depth + 1):
         into = front.where("is_tree")
         if skip is not None:
-            into = into.join(skip.select("ref", "path"), ["ref", "path"], "left_anti")
+            into = into.join(skip, [c for c in skip.columns if c in ("ref", "path", *more)], "left_anti")
         if strict and (lost := into.join(edges.select(F.col("tree_ref").alias("ref")), "ref", "left_anti").first()):
             raise MissingTree(f"no tree {lost.ref} at {lost.path or '/'}")
         path = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws("/", "path", "name"))
-        front = durable(into.select("root", "path", F.col("ref").alias("of")).join(by_tree, "of").select("root", path.alias("path"), "is_tree", "ref"))
+        front = durable(into.select("root", *more, "path", F.col("ref").alias("of")).join(by_tree, "of").select("root", *more, path.alias("path"), "is_tree", "ref"))
         if front.isEmpty():
             break
         level = front.withColumn("depth", F.lit(depth))
