@@ -56,24 +56,31 @@ def listing(nodes: DataFrame) -> DataFrame:
     return nodes.orderBy("tree_ref", F.col("is_tree").desc(), "name")
 
 
-def build(files: DataFrame, max_depth: int = 100) -> DataFrame:
-    """Edges of the trees over files (path, ref): bottom up, a level at a time; a tree's ref is the SHA-1 of its sorted nodes, so equal trees are one."""
+def build(files: DataFrame, max_depth: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(edges, root) of the trees over files (path, ref): bottom up, a level at a time; a tree's ref is the SHA-1 of its sorted nodes, so equal trees are one.
+
+    root has the top tree's ref, or no row if there are no files.
+    """
     nodes = files.select("path", "ref", F.lit(False).alias("is_tree"))
     depth = F.size(F.split("path", "/"))
     deepest = nodes.agg(F.max(depth)).first()[0] or 0
     if deepest > max_depth:
         raise ValueError(f"paths of {deepest} names; at most {max_depth} are built")
-    out = None
+    out, root = None, nodes.select("ref").limit(0)
     for level in range(deepest, 0, -1):
         here, nodes = nodes.where(depth == level), nodes.where(depth < level)
         cut = F.regexp_extract("path", "^(?:(.*)/)?([^/]*)$", 1).alias("parent"), F.regexp_extract("path", "([^/]*)$", 1).alias("name")
         own = here.select(*cut, "is_tree", "ref")
         trees = durable(own.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("name", "is_tree", "ref"))).alias("nodes")).withColumn("tree_ref", F.sha1(F.to_json("nodes"))))
-        edges = trees.select("tree_ref", F.col("parent").alias("path"), F.explode("nodes").alias("n")).select("tree_ref", "path", "n.name", "n.is_tree", F.col("n.ref").alias("child_ref"))
+        edges = trees.dropDuplicates(["tree_ref"]).select("tree_ref", F.explode("nodes").alias("n")).select("tree_ref", "n.name", "n.is_tree", F.col("n.ref").alias("child_ref"))
         out = edges if out is None else out.unionByName(edges)
         if level > 1:
             nodes = nodes.unionByName(trees.select(F.col("parent").alias("path"), F.col("tree_ref").alias("ref"), F.lit(True).alias("is_tree")))
-    return out
+        else:
+            root = trees.select(F.col("tree_ref").alias("ref"))
+    if out is None:
+        out = nodes.select(F.col("ref").alias("tree_ref"), F.col("path").alias("name"), "is_tree", F.col("ref").alias("child_ref"))
+    return out.dropDuplicates(["tree_ref", "name"]), root
 
 
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:

@@ -12,9 +12,24 @@ from pyspark.sql import functions as F
 from cairn.functions.text import selected
 
 
+def empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The listed files that a scan leaves out because they have no bytes; only these come to the driver."""
+    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
+    rows = []
+    for (name,) in listed.join(files.select(bare("path").alias("p")), bare("path") == F.col("p"), "left_anti").collect():
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        if status.getLen() == 0:
+            rows.append((path.toString(), status.getModificationTime()))
+    found = spark.createDataFrame(rows, "path string, ms long")
+    return found.select("path", F.timestamp_millis("ms").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.unhex(F.lit("")).alias("content"))
+
+
 def read_folder(spark: SparkSession, base: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
     """path (below base), ts, size, content of regular files that the globs select."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "modificationTime", "length", "content")
+    files = files.unionByName(empty_files(spark, files))
     root = urlparse(base).path.rstrip("/")
     below = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), f"^{root}/", "")
     return files.select(below.alias("path"), F.col("modificationTime").alias("ts"), F.col("length").alias("size"), "content").where(selected(F.col("path"), list(include), list(exclude)))

@@ -119,9 +119,9 @@ class Store:
         parts = chunks.content_parts(fresh, "path", "content", max_chunk).persist()
         refs = state.where("state <> 'same'").select("path").join(parts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part_no", "ref"))).alias("p")), "path", "left").select("path", F.sha1(F.concat(F.lit("file:"), F.coalesce(F.to_json("p"), F.lit("")))).alias("ref"))
         files = refs.unionByName(state.where("state = 'same'").select("path").join(known.select("path", "ref"), "path")).persist()
-        edges = trees.build(files).persist()
-        root = edges.where("path = ''").select("tree_ref").first()
-        tree = root[0] if root else ""
+        edges, root = trees.build(files)
+        edges, top = edges.persist(), root.first()
+        tree = top[0] if top else ""
         now = _now()
         ref = uuid.uuid5(uuid.NAMESPACE_OID, f"{tree}:{now.isoformat()}:{set_}").hex
         owned = parts.join(refs.withColumnRenamed("ref", "file_ref"), "path").select("file_ref", "part_no", "offset", "length", "ref").distinct()
@@ -131,7 +131,7 @@ class Store:
         new = blobs.unionByName(others).unionByName(commit.select("ref", F.lit(COMMIT).alias("type"), F.lit(None).cast("binary").alias("payload"))).withColumn("ts", F.lit(now))
         stats = files.join(state.select("path", "ts", "size"), "path").select("ref", "ts", "size")
         add = lambda t, df, key, *order: insert_if_absent(self.table(t), df, key, *order)
-        self._commit(objects=add("objects", new, ["ref"]), parts=add("parts", owned, ["file_ref", "part_no"]), edges=add("edges", edges.select("tree_ref", "name", "is_tree", "child_ref"), ["tree_ref", "name"]), stats=add("stats", stats, ["ref", "ts"]), history=self.table("history").unionByName(commit))
+        self._commit(objects=add("objects", new, ["ref"]), parts=add("parts", owned, ["file_ref", "part_no"]), edges=add("edges", edges, ["tree_ref", "name"]), stats=add("stats", stats, ["ref", "ts"]), history=self.table("history").unionByName(commit))
         self._index(commit, files.join(state.select("path", "ts", "size"), "path"))
         for df in (state, parts, files, edges):
             df.unpersist()
@@ -158,7 +158,8 @@ class Store:
         whole = nodes.join(self.table("parts"), "file_ref", "left").join(blobs, "ref", "left")
         data = F.coalesce("data", F.when(F.col("length").isNotNull(), F.repeat(F.lit("\0"), F.col("length").cast("int")).cast("binary")))
         pieces = F.array_sort(F.collect_list(F.when(F.col("part_no").isNotNull(), F.struct("part_no", F.base64(data).alias("d")))))
-        return whole.groupBy("path").agg(pieces.alias("p")).select("path", F.aggregate("p", F.unhex(F.lit("")), lambda a, x: F.concat(a, F.unbase64(x["d"]))).alias("content"))
+        empty = F.unhex(F.lit(""))
+        return whole.groupBy("path").agg(pieces.alias("p")).select("path", F.coalesce(F.aggregate("p", empty, lambda a, x: F.concat(a, F.unbase64(x["d"]))), empty).alias("content"))
 
     def restore(self, set_: str, to: str, not_after=None, path: str = "") -> None:
         restore(self.restored(set_, not_after, path), to)
