@@ -38,8 +38,8 @@ def words(text: str) -> Column:
 
 
 def windows(items: DataFrame, width: int) -> DataFrame:
-    """item_id, at, win: each run of width words of an item, or all of a shorter one."""
-    w = pick(items, item_id="string", text="string").where("item_id is not null").select("item_id", words("text").alias("w")).where("size(w) > 0")
+    """item_id, at, win: each run of width words of an item, or all of a shorter one. item_id has the text's hash after END, so rows that repeat an id stay apart."""
+    w = pick(items, item_id="string", text="string").where("item_id is not null").select(F.concat_ws(END, "item_id", F.xxhash64("text").cast("string")).alias("item_id"), words("text").alias("w")).where("size(w) > 0")
     return w.select("item_id", "w", F.explode(F.expr(f"sequence(0, greatest(size(w) - {width}, 0))")).alias("at")).select("item_id", "at", F.expr(f"slice(w, at + 1, {width})").alias("win"))
 
 
@@ -79,7 +79,7 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int
     met = starts.groupBy("doc_id", "h", "item_id", "start").agg(F.collect_set("place").alias("places"))
     per_item = plan.groupBy("item_id").agg(F.collect_list(F.struct("at", "win", F.expr("transform(rare, r -> at + r.o)").alias("need"))).alias("wins"))
     held = met.join(maybe_broadcast(per_item, 16384), "item_id").select("doc_id", "h", "item_id", "start", "places", F.expr("filter(wins, w -> size(array_except(w.need, places)) = 0)").alias("wins"), F.expr("transform(filter(wins, w -> arrays_overlap(w.need, places)), w -> w.need)").alias("some"))
-    candidates = held.where("size(wins) > 0").groupBy("doc_id", "h").agg(F.flatten(F.collect_list(F.expr("transform(wins, w -> struct(start + w.at as start, w.win as win, item_id))"))).alias("c"))
+    candidates = held.where("size(wins) > 0").groupBy("doc_id", "h").agg(F.flatten(F.collect_list(F.expr("transform(wins, w -> struct(start + w.at as start, w.win as win, regexp_replace(item_id, '\\\\x00[^\\\\x00]*$', '') as item_id))"))).alias("c"))
     candidates = stored(candidates, "decontam-candidates")
     is_d = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))
     side = candidates.withColumnsRenamed({"doc_id": "d", "h": "k"})

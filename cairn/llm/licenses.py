@@ -46,8 +46,8 @@ TEMPLATES = (
 )
 
 COVERAGE = 0.85
-#: How far the matched words of a template of n words may reach in the text: n * STRETCH + SLACK words.
-STRETCH, SLACK = 1.5, 4
+#: How far n words of a template may reach in the text: n * STRETCH + SLACK words.
+STRETCH, SLACK = 1.35, 1
 
 _LOWERED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -142,11 +142,12 @@ class Templates:
                 need -= t.count(x)
                 if need <= 0:
                     break
-            reach, done = int(len(t) * STRETCH) + SLACK, -1
-            for k in sorted(k for x in some for k in places.get(x, ())):
+            reach, done = int(len(t) * STRETCH) + SLACK, 0
+            at = {x: [j for j, y in enumerate(t) if y == x] for x in some}
+            for k, j in sorted((k, j) for x in some for k in places.get(x, ()) for j in at[x]):
                 if k < done:
                     continue
-                low, high = max(0, k - reach), min(len(w), k + reach)
+                low, high = max(done, k - int(j * STRETCH) - SLACK), min(len(w), k + int((len(t) - j) * STRETCH) + SLACK)
                 matched = densest(align(w[low:high], t), reach)
                 if len(matched) >= least * len(t):
                     start, end = low + matched[0][0], low + matched[-1][0] + 1

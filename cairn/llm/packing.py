@@ -24,6 +24,8 @@ import bisect
 import re
 import zlib
 from fractions import Fraction
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from cairn.llm.store import maybe_broadcast, pick, stored, table
 END_ID = 1
 LENGTH, WINDOW, MAX_QUEUES = 2048, 1 << 16, 256
 #: Words whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 800_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -57,15 +59,6 @@ def together(text: str) -> bool:
     return TOGETHER.search(text) is not None
 
 
-class Known(dict):
-    """The ids of words that are kept, and of those of the present batch."""
-
-    new: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.new[word]
-
-
 class Words:
     """Ids of whole texts. No token reaches over a space between two characters that aren't white space, so words are looked up alone.
 
@@ -73,7 +66,7 @@ class Words:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = Tokenizer.from_file(path), Known()
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         names = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(names.values()) + 1, bool)
@@ -97,15 +90,15 @@ class Words:
         for k, t in enumerate(texts):
             if t and not together(t) and not any(s in t for s in self.special):
                 cut[k] = t.split(" ")
-        new = self.fresh(list(set().union(*[w[1:] for w in cut.values()]).difference(known)))
+        got = {k: list(map(known.get, w[1:])) for k, w in cut.items()}
+        new = self.fresh(list({x for k, w in cut.items() for x in compress(w[1:], map(not_, got[k]))}))
         if len(known) < CACHE:
             known.update(new)
-        known.new, get = new, known.__getitem__
         whole = [k for k in range(len(texts)) if k not in cut]
         for k, ids in zip(whole, self.encoded([texts[k] for k in whole]), strict=True):
             out[k] = ids.tobytes()
         for (k, words), ids in zip(cut.items(), self.encoded([w[0] for w in cut.values()]), strict=True):
-            out[k] = ids.tobytes() + b"".join(map(get, words[1:]))
+            out[k] = ids.tobytes() + b"".join([g or new[w] for g, w in zip(got[k], words[1:], strict=True)])
         return out
 
 
