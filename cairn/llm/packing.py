@@ -226,7 +226,7 @@ def pieces(totals: list[int], window: int, length: int, targets: list[Fraction]
 def packed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, targets: dict[str, float] | None = None, max_queues: int = MAX_QUEUES, vocabulary: str | None = None) -> DataFrame:
     """PIECES for every document. targets: wanted shares by source; a source that isn't named has what would be its natural one."""
     rows = pick(docs, source="string", doc_id="long", text="string")
-    ids = stored(rows.mapInArrow(tokens(vocabulary or vocabulary_path()), "source string, part long, before long, doc_id long, n long, ids binary"), "packing-ids")
+    ids = stored(rows.mapInArrow(tokens(vocabulary or vocabulary_path()), "source string, part long, before long, doc_id long, n long, ids binary"), "packing-ids", texts=True)
     sums = stored(ids.groupBy("source", "part").agg(F.sum("n").alias("n")), "packing-sums")
     top = [r.source for r in sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(max_queues).collect()]
     named = {s: q for q, s in enumerate(top)}

@@ -174,7 +174,7 @@ def fit(features: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
-    features = stored(measured(docs), "quality-statistics")
+    features = stored(measured(docs), "quality-statistics", texts=True)
     model = fit(features, labels)
 
     def score(batches):
@@ -186,7 +186,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are predicted to be of quality, with their columns."""
-    model = fit(stored(measured(docs), "quality-statistics"), labels)
+    model = fit(stored(measured(docs), "quality-statistics", texts=True), labels)
 
     def measure(text: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array([statistics(t) for t in text], float).reshape(-1, D)))

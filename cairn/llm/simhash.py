@@ -260,7 +260,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = 4096) -> DataFram
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = 4096) -> DataFrame:
     """doc_id, fp, component_id for each row."""
-    each = stored(fingerprints(docs), "simhash")
+    each = stored(fingerprints(docs), "simhash", texts=True)
     nodes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     labels = components(links(nodes, radius, block)).withColumnRenamed("node", "fp")
     least = labels.join(nodes, "fp").groupBy("label").agg(F.min("least").alias("component"))

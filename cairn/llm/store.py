@@ -29,11 +29,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
+#: Rows that go to Python at once where rows hold whole texts.
+TEXT_ROWS = 1000
+
+
+def stored(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
+    """df, written to the shared folder and read again. texts: rows that go to Python hold whole texts, so fewer go at once."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, kept = shared_path(spark, name), spark.conf.get(key)
+    if texts:
+        spark.conf.set(key, min(TEXT_ROWS, int(kept)) if int(kept) > 0 else TEXT_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, kept)
     return spark.read.schema(df.schema).parquet(path)
 
 
