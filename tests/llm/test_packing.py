@@ -64,3 +64,10 @@ def test_words_match_whole_texts():
     packing.CACHE, kept = 0, packing.CACHE
     assert words(texts) == want and not words.known
     packing.CACHE = kept
+
+
+def test_ranks_give_the_same_ids(spark):
+    words = packing.Words(packing.vocabulary_path())
+    assert words.ranks is not None
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert words(texts) == [x.tobytes() for x in words.encoded(texts)]
