@@ -43,7 +43,17 @@ def stored(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, kept)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table of stored() that nothing reads any more, and lets Spark clear the shuffle files behind it."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    spark._jvm.System.gc()
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
