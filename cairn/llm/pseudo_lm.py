@@ -7,8 +7,9 @@ natural logs of these conditional probabilities over all of its words.
 
 The vocabulary holds the most frequent words by counts over all documents; other
 words share hashed places.  Every task starts from the same parameters and
-trains on masked positions (each ``mask``-th word, by its place) of all of its
-documents; the parameters' mean, weighted by positions, is the model of a round.
+trains on every word of all of its documents, each once a round, in ``mask``
+passes over a group of documents (each pass masks every ``mask``-th word); the
+parameters' mean, weighted by words, is the model of a round.
 
 Defined results: null, empty or blank text has no words and scores 0; rows with
 a null ``doc_id`` and repeated rows count and are scored like any other; an
@@ -53,11 +54,19 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
 def hidden(p: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
-    x = p["bias"] + p["embed"][0][around[:, 0]]
+    x = p["bias"] + p["embed"][0].take(around[:, 0], 0)
     for k in range(1, len(OFFSETS)):
-        x += p["embed"][k][around[:, k]]
-    return np.tanh(x)
+        x += p["embed"][k].take(around[:, k], 0)
+    return np.tanh(x, out=x)
 
 
 def log_probabilities(p: dict[str, np.ndarray], words: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -73,28 +82,36 @@ def log_probabilities(p: dict[str, np.ndarray], words: np.ndarray, around: np.nd
 
 def learn(p: dict[str, np.ndarray], words: np.ndarray, around: np.ndarray, rate: float) -> None:
     """One gradient step on the rows, in place."""
+    order = np.argsort((words // SIDE).astype(np.uint16), kind="stable")  # so that a class's rows are a slice
+    words, around = words[order], around[order]
     n, h = len(words), hidden(p, around)
-    c, w = words // SIDE, words % SIDE
-    g = np.exp(_log_softmax(h @ p["classes"] + p["class_bias"]))
-    g[np.arange(n), c] -= 1
+    each, c, w = np.arange(n), words // SIDE, words % SIDE
+    g = _softmax(h @ p["classes"] + p["class_bias"])
+    g[each, c] -= 1
     back = g @ p["classes"].T
-    steps = {"classes": h.T @ g, "class_bias": g.sum(0)}
-    for k in np.unique(c):
-        rows = np.flatnonzero(c == k)
-        gk = np.exp(_log_softmax(h[rows] @ p["words"][k] + p["word_bias"][k]))
-        gk[np.arange(len(rows)), w[rows]] -= 1
-        back[rows] += gk @ p["words"][k].T
-        p["words"][k] -= rate / max(len(rows), 64) * (h[rows].T @ gk)
-        p["word_bias"][k] -= rate / max(len(rows), 64) * gk.sum(0)
-    for k, s in steps.items():
-        p[k] -= rate / n * s
+    sizes = np.bincount(c, minlength=SIDE).tolist()
+    ends = np.cumsum(sizes).tolist()
+    own = [(k, slice(e - m, e), m) for k, (e, m) in enumerate(zip(ends, sizes, strict=True)) if m]
+    gw = np.empty((n, SIDE), np.float32)
+    for k, rows, _ in own:
+        gw[rows] = h[rows] @ p["words"][k] + p["word_bias"][k]
+    _softmax(gw)
+    gw[each, w] -= 1
+    for k, rows, m in own:
+        back[rows] += gw[rows] @ p["words"][k].T
+        p["words"][k] -= rate / max(m, 64) * (h[rows].T @ gw[rows])
+        p["word_bias"][k] -= rate / max(m, 64) * gw[rows].sum(0)
+    p["classes"] -= rate / n * (h.T @ g)
+    p["class_bias"] -= rate / n * g.sum(0)
     back *= 1 - h * h
     p["bias"] -= rate / n * back.sum(0)
     for k in range(len(OFFSETS)):
-        at, order = np.unique(around[:, k], return_inverse=True)
-        total = np.zeros((len(at), HIDDEN), np.float32)
-        np.add.at(total, order, back)
-        p["embed"][k][at] -= rate / np.sqrt(n * np.maximum(np.bincount(order), 1))[:, None] * total
+        at = around[:, k].astype(np.uint16)
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+        scale = (rate / np.sqrt(float(n) * np.diff(first, append=n))).astype(np.float32)
+        p["embed"][k][at[first]] -= scale[:, None] * np.add.reduceat(back[order], first, 0)
 
 
 def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,8 +181,8 @@ def train(rows: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS, mask:
             own, n = {k: v.copy() for k, v in start.items()}, 0
             for _, _, ids in in_groups(batches, known):
                 at, around = windows(ids)
-                chosen = at % mask == turn % mask
-                words, around = ids[at[chosen]], around[chosen]
+                order = np.argsort((at + turn) % mask, kind="stable")  # every place, each mask-th one together
+                words, around = ids[at[order]], around[order]
                 for k in range(0, len(words), STEP):
                     learn(own, words[k : k + STEP], around[k : k + STEP], RATE)
                 n += len(words)

@@ -33,6 +33,14 @@ def test_training_predicts_what_both_sides_tell(spark):
     assert many > few > -7
 
 
+def test_every_word_is_a_target(spark):
+    """A text of period four: each of its words is learned in one round, not only that at every fourth place."""
+    df = spark.createDataFrame([(1, b"alpha beta gamma delta " * 400)], "doc_id long, text binary")
+    known = lm.vocabulary(df)
+    bias = lm.train(df, known)["word_bias"].ravel()
+    assert all(bias[k] > 0 for k in known.values())
+
+
 def test_gradient_lowers_the_loss():
     rng = np.random.default_rng(1)
     p, words, around = lm.initial(), rng.integers(1, 40, 500), rng.integers(0, 40, (500, 4))
