@@ -6,7 +6,10 @@ class and then the word within its class.  A document's score is the sum of the
 natural logs of these conditional probabilities over all of its words.
 
 The vocabulary holds the most frequent words by counts over all documents; other
-words share hashed places.  Every task starts from the same parameters and
+words share hashed places.  Such a word's probability is that of its place times
+its part of the place's occurrences, by counts of every word over all documents;
+the more frequent of these words are known to every task, the rest are joined.
+Every task starts from the same parameters and
 trains on every word of all of its documents, each once a round, in ``mask``
 passes over a group of documents (each pass masks every ``mask``-th word); the
 parameters' mean, weighted by words, is the model of a round.
@@ -26,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.store import pick, table
+from cairn.llm.store import pick, stored, table
 
 SIDE = 32  # classes, and words in a class
 VOCABULARY, HASHED, HIDDEN, REACH = SIDE * SIDE, 127, 32, 2
 OFFSETS = (-2, -1, 1, 2)
 MASK, STEP, RATE, ROUNDS = 4, 4096, 0.3, 1
 NONE = 0  # beyond either end
+#: Most hashed words whose counts every task holds; the others' are joined.
+NEAR = 1 << 17
 
 #: Parameters in the order in which they are averaged.
 SHAPES = {"embed": (len(OFFSETS), VOCABULARY, HIDDEN), "bias": (HIDDEN,), "classes": (HIDDEN, SIDE), "class_bias": (SIDE,), "words": (SIDE, HIDDEN, SIDE), "word_bias": (SIDE, SIDE)}
@@ -120,21 +125,23 @@ def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.stack([ids[at + o] for o in OFFSETS], 1)
 
 
-def in_groups(batches, known: dict[bytes, int], most: int = 1 << 16):
-    """(doc ids, words of each, ids with empty places between documents), of about most words; a longer document is a group of its own."""
-    pad, docs, sizes, ids = [NONE] * REACH, [], [], [NONE] * REACH
+def in_groups(batches, known: dict[bytes, int], most: int = 1 << 16, rest: bool = False):
+    """(doc ids, words of each, ids with empty places between documents, with rest, words of each that aren't known), of about most words; a longer document is a group of its own."""
+    pad, docs, sizes, ids, others = [NONE] * REACH, [], [], [NONE] * REACH, []
     for b in batches:
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-            got = numbers(text.as_py(), known)
+            text = text.as_py()
+            got = numbers(text, known)
             if docs and len(ids) + len(got) > most:
-                yield docs, sizes, np.array(ids, np.int64)
-                docs, sizes, ids = [], [], [NONE] * REACH
+                yield docs, sizes, np.array(ids, np.int64), others
+                docs, sizes, ids, others = [], [], [NONE] * REACH, []
             docs.append(doc)
+            others.append([w for w, k in zip((text or b"").lower().split(), got, strict=True) if k <= HASHED] if rest else [])
             sizes.append(len(got))
             ids += got
             ids += pad
     if docs:
-        yield docs, sizes, np.array(ids, np.int64)
+        yield docs, sizes, np.array(ids, np.int64), others
 
 
 def _count(batches):
@@ -154,12 +161,33 @@ def _count(batches):
         yield rows(counts)
 
 
-def vocabulary(rows: DataFrame) -> dict[bytes, int]:
+def counted(rows: DataFrame) -> DataFrame:
+    """word, n: every word and its count over all rows."""
+    return rows.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(rows: DataFrame, counts: DataFrame | None = None) -> dict[bytes, int]:
     """The most frequent words and their places, by counts over all rows."""
-    top = rows.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY - HASHED - 1).collect()
+    top = (counted(rows) if counts is None else counts).orderBy(F.desc("n"), "word").limit(VOCABULARY - HASHED - 1).collect()
     return {bytes(r.word): k + HASHED + 1 for k, r in enumerate(top)}
 
 
+def hashed(counts: DataFrame, known: dict[bytes, int], most: int = NEAR) -> tuple[np.ndarray, dict[bytes, int], DataFrame]:
+    """(total, near, far) of the words that aren't known: occurrences in each hashed place, the counts of the most frequent words (at most most), and word, n of all others that occur twice or more."""
+    held = counts.sparkSession.createDataFrame([(bytearray(w),) for w in known], "word binary")
+    others = counts.join(F.broadcast(held), "word", "left_anti")
+    total, left, least = np.ones(VOCABULARY), most, None
+    for r in others.groupBy((F.crc32("word") % HASHED + 1).alias("k")).agg(F.sum("n").alias("n")).collect():
+        total[r.k] = r.n
+    for r in others.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(most).collect():
+        left -= r.words
+        if left < 0:
+            break
+        least = r.n
+    near = {} if least is None else {bytes(r.word): r.n for r in others.where(F.col("n") >= least).collect()}
+    return total, near, others.where(F.col("n") > 1) if least is None else others.where((F.col("n") > 1) & (F.col("n") < least))
+
+
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in SHAPES])
 
@@ -179,7 +207,7 @@ def train(rows: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS, mask:
 
         def work(batches, start=p, turn=turn):
             own, n = {k: v.copy() for k, v in start.items()}, 0
-            for _, _, ids in in_groups(batches, known):
+            for _, _, ids, _ in in_groups(batches, known):
                 at, around = windows(ids)
                 order = np.argsort((at + turn) % mask, kind="stable")  # every place, each mask-th one together
                 words, around = ids[at[order]], around[order]
@@ -200,19 +228,33 @@ def train(rows: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS, mask:
 def scored(docs: DataFrame, rounds: int = ROUNDS, mask: int = MASK) -> DataFrame:
     """doc_id, n_words, log_likelihood, mean for each row."""
     rows = pick(docs, doc_id="long", text="string").select("doc_id", F.col("text").cast("binary").alias("text"))
-    known = vocabulary(rows)
+    counts = stored(counted(rows), "lm-words")
+    known = vocabulary(rows, counts)
     p = train(rows, known, rounds, mask)
+    total, near, far = hashed(counts, known)
+    # near words are numbered after the vocabulary: the place and ln P(word | place) of each number; of far words only ln of the place's total
+    every = known | {w: VOCABULARY + k for k, w in enumerate(near)}
+    place = np.concatenate([np.arange(VOCABULARY), np.array([zlib.crc32(w) % HASHED + 1 for w in near], np.int64)])
+    within = np.where(place <= HASHED, -np.log(total[place]), 0.0)
+    within[VOCABULARY:] += np.log(np.array(list(near.values()), float))
 
     def score(batches):
-        for doc, sizes, ids in in_groups(batches, known):
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
+        for doc, sizes, ids, others in in_groups(batches, every, rest=True):
+            own, ids = within[ids], place[ids]
             at, around = windows(ids)
-            got = np.concatenate([np.zeros(0), *[log_probabilities(p, ids[at[k : k + (1 << 16)]], around[k : k + (1 << 16)]).astype(float) for k in range(0, len(at), 1 << 16)]])
+            got = np.concatenate([np.zeros(0), *[log_probabilities(p, ids[at[k : k + (1 << 16)]], around[k : k + (1 << 16)]).astype(float) for k in range(0, len(at), 1 << 16)]]) + own[at]
             ends = np.cumsum(sizes)
             sums = np.concatenate([[0.0], np.cumsum(got)])
-            total = sums[ends] - sums[ends - sizes]
-            yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total), pa.array(total / np.maximum(sizes, 1))], ["doc_id", "n_words", "log_likelihood", "mean"])
+            yield pa.record_batch([pa.array(np.arange(row, row + len(doc))), pa.array(doc, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums[ends] - sums[ends - sizes]), pa.array(others, pa.list_(pa.binary()))], ["row", "doc_id", "n_words", "s", "others"])
+            row += len(doc)
 
-    return rows.mapInArrow(score, "doc_id long, n_words long, log_likelihood double, mean double")
+    part = stored(rows.mapInArrow(score, "row long, doc_id long, n_words long, s double, others array<binary>"), "lm-scores")
+    more = part.select("row", F.explode("others").alias("word")).join(far, "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    whole = (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood")
+    return part.drop("others").join(more, "row", "left").select("doc_id", "n_words", whole).withColumn("mean", F.col("log_likelihood") / F.greatest("n_words", F.lit(1)))
 
 
 def op5_pseudo_lm(spark, sf_dir: str) -> DataFrame:

@@ -41,6 +41,26 @@ def test_every_word_is_a_target(spark):
     assert all(bias[k] > 0 for k in known.values())
 
 
+def test_hashed_words_have_probabilities_of_their_own(spark, monkeypatch):
+    """Of words in one hashed place, each counts by its part of the place's occurrences, known to the tasks or joined."""
+    import zlib
+
+    common = [f"c{k}" for k in range(lm.VOCABULARY - lm.HASHED - 1) for _ in range(40)]
+    place = lambda w: zlib.crc32(w.encode()) % lm.HASHED
+    rare = [w for w in (f"r{k}" for k in range(9999)) if place(w) == 5][:3]
+    texts = [" ".join(common), rare[0], rare[0], rare[0], rare[1], rare[1], rare[2], f"{rare[0]} {rare[2]} {rare[1]} {rare[1]}"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    n, found = {rare[0]: 4, rare[1]: 4, rare[2]: 2}, []
+    for most in (0, 2, 9):
+        monkeypatch.setattr(lm.hashed, "__defaults__", (most,))
+        got = {r.doc_id: r.log_likelihood for r in lm.scored(df).collect()}
+        bin_ = got[1] - np.log(n[rare[0]] / 10)
+        for k in range(1, 7):
+            assert abs(got[k] - bin_ - np.log(n[texts[k]] / 10)) < 1e-4
+        found.append(got)
+    assert all(abs(found[0][k] - other[k]) < 1e-3 * max(1, len(texts[k])) for other in found[1:] for k in found[0])
+
+
 def test_gradient_lowers_the_loss():
     rng = np.random.default_rng(1)
     p, words, around = lm.initial(), rng.integers(1, 40, 500), rng.integers(0, 40, (500, 4))
