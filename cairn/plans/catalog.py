@@ -585,6 +585,20 @@ def blob_refs(spark, sf_dir):
     return docs.select("doc_id", F.lower(F.hex(wire.blob_ref(F.col("text").cast("binary")))).alias("ref"))
 
 
+def _varint_sql(n: str) -> str:
+    """The varint of a count below 2**35, as hex digits."""
+    byte = lambda k, more: f"printf('%02X', (({n}) >> {7 * k}) % 128 + {128 if more else 0})"
+    whole = [" || ".join([*(byte(j, True) for j in range(k)), byte(k, False)]) for k in range(5)]
+    return f"case {' '.join(f'when {n} < {1 << 7 * (k + 1)} then {x}' for k, x in enumerate(whole[:4]))} else {whole[4]} end"
+
+
+@query(f"select doc_id, sha1(unhex('22') || unhex({_varint_sql('octet_length(inner_)')}) || inner_) as ref from (select doc_id, case when n = 0 then unhex('') else unhex('0A') || unhex({_varint_sql('n')}) || encode(text) end as inner_ from (select doc_id, text, strlen(text) as n from documents))")
+def blob_refs_whole(spark, sf_dir):
+    """References of all texts as stored blobs: empty ones, and of any length."""
+    docs = Views(spark, sf_dir).documents
+    return docs.select("doc_id", F.lower(F.hex(wire.blob_ref(F.col("text").cast("binary")))).alias("ref"))
+
+
 @query("select event_type as key, min(event_id) as event_id from events group by 1")
 def stream_incremental_index(spark, sf_dir):
     """A stream of events, inserted if absent a micro-batch at a time, ends as the batch form does."""
