@@ -6,7 +6,8 @@ each benchmark window are posted: a list of positions less the term's offset in
 its item is the list of places where the item would start, so intersecting the
 offset-adjusted lists of a window's rarest terms leaves the places where the
 window can occur.  Those few are verified word by word against the text, which
-gives exact phrases; lists that meet within a slop give proximity matches.
+gives exact phrases; lists that meet within a slop, or exactly but around other
+words, give proximity matches.
 
 Postings are dealt by document, so a term that a third of all rows hold is
 never gathered in one place.
@@ -51,24 +52,28 @@ def keyed(docs: DataFrame) -> DataFrame:
 SAME = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
 
 
-def anchors(docs: DataFrame, wins: DataFrame, rarest: int) -> DataFrame:
-    """item_id, at, win, offsets: each window's rarest terms by their count over all documents; windows with a term that never occurs are gone."""
+def anchors(docs: DataFrame, wins: DataFrame, rarest: int, near: bool = False) -> DataFrame:
+    """item_id, at, win, offsets: each window's rarest terms by their count over all documents.
+
+    Windows with a term that never occurs are gone; if near, they have the rarest of the terms that occur, and are gone if those are too few.
+    """
     terms = wins.select(F.explode("win").alias("term")).distinct()
     counts = docs.select(F.explode(words("text")).alias("term")).join(maybe_broadcast(terms, 64), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     each = wins.select("item_id", "at", "win", F.posexplode("win").alias("o", "term")).join(counts, "term", "left")
-    return each.groupBy("item_id", "at").agg(F.first("win").alias("win"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "term"))).alias("by")).where("by[0].n > 0").select("item_id", "at", "win", F.expr(f"transform(slice(by, 1, {rarest}), x -> struct(x.o as o, x.term as term))").alias("rare"))
+    some = f"by[0].n > 0 or size(filter(by, x -> x.n > 0)) >= {max(rarest, 2)}" if near else "by[0].n > 0"
+    return each.groupBy("item_id", "at").agg(F.first("win").alias("win"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "term"))).alias("by")).where(some).withColumn("by", F.expr("filter(by, x -> x.n > 0)")).select("item_id", "at", "win", F.expr(f"transform(slice(by, 1, {rarest}), x -> struct(x.o as o, x.term as term))").alias("rare"))
 
 
 def occurrences(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int = 2, slop: int = 4) -> tuple[DataFrame, DataFrame]:
     """(exact, counted).
 
     exact: doc_id, h, found: for each document with candidates, its verified windows as (start, n, item_id).
-    counted: doc_id, h, n_words, n_near for each row of docs; n_near: items of which some window's rarest terms
-    stand within slop words of their distances in the item without meeting them exactly.
+    counted: doc_id, h, n_words, n_near for each row of docs; n_near: items that the document doesn't hold exactly and
+    of which some window's rarest terms stand within slop words of their distances in the item.
     """
     docs = keyed(docs)
     wins = windows(items, width)
-    plan = stored(anchors(docs, wins, rarest), "decontam-anchors")
+    plan = stored(anchors(docs, wins, rarest, slop > 0), "decontam-anchors")
     lists = plan.select("item_id", F.explode(F.expr("transform(rare, r -> struct(r.term as term, at + r.o as place))")).alias("p")).select("item_id", "p.*").distinct()
     posted = lists.groupBy("term").agg(F.collect_list(F.struct("item_id", "place")).alias("places")).unionByName(
         docs.sparkSession.range(1).select(F.lit(END).alias("term"), F.expr("cast(array() as array<struct<item_id:string,place:int>>)").alias("places")))
@@ -78,7 +83,7 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int
     starts = postings.where("places is not null").select("doc_id", "h", "pos", F.explode("places").alias("p")).select("doc_id", "h", "p.item_id", (F.col("pos") - F.col("p.place")).alias("start"), "p.place")
     met = starts.groupBy("doc_id", "h", "item_id", "start").agg(F.collect_set("place").alias("places"))
     per_item = plan.groupBy("item_id").agg(F.collect_list(F.struct("at", "win", F.expr("transform(rare, r -> at + r.o)").alias("need"))).alias("wins"))
-    held = met.join(maybe_broadcast(per_item, 16384), "item_id").select("doc_id", "h", "item_id", "start", "places", F.expr("filter(wins, w -> size(array_except(w.need, places)) = 0)").alias("wins"), F.expr("transform(filter(wins, w -> arrays_overlap(w.need, places)), w -> w.need)").alias("some"))
+    held = met.join(maybe_broadcast(per_item, 16384), "item_id").select("doc_id", "h", "item_id", "start", "places", F.expr("filter(wins, w -> size(array_except(w.need, places)) = 0)").alias("wins"))
     candidates = held.where("size(wins) > 0").groupBy("doc_id", "h").agg(F.flatten(F.collect_list(F.expr("transform(wins, w -> struct(start + w.at as start, w.win as win, regexp_replace(item_id, '\\\\x00[^\\\\x00]*$', '') as item_id))"))).alias("c"))
     candidates = stored(candidates, "decontam-candidates")
     is_d = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))
@@ -87,20 +92,27 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int
     texts = docs.join(maybe_broadcast(side.select("d", "k"), 48), is_d, "left_semi").join(side, is_d).select("doc_id", "h", words("text").alias("w"), "c")
     true = F.expr("transform(filter(c, x -> x.start >= 0 and slice(w, x.start + 1, size(x.win)) = x.win), x -> struct(x.start as start, size(x.win) as n, x.item_id as item_id))")
     exact = texts.select("doc_id", "h", true.alias("found")).where("size(found) > 0").groupBy("doc_id", "h").agg(F.first("found").alias("found"))
-    near = proximity(held, slop) if slop else None
+    if slop:
+        exact = stored(exact, "decontam-exact")
+    near = proximity(met, per_item, exact, slop) if slop else None
     counted = ends if near is None else ends.alias("a").join(near.alias("b"), SAME(*(dict(doc_id=F.col(f"{x}.doc_id"), h=F.col(f"{x}.h")) for x in "ab")), "left").select("a.*", F.coalesce("b.n_near", F.lit(0)).alias("n_near"))
     return exact, counted
 
 
-def proximity(held: DataFrame, slop: int) -> DataFrame:
-    """doc_id, h, n_near: items whose rarest terms' starts lie within slop of each other but don't agree.
+def proximity(met: DataFrame, per_item: DataFrame, exact: DataFrame, slop: int) -> DataFrame:
+    """doc_id, h, n_near: items without an exact window of which some window's rarest terms have starts within slop of each other.
 
-    Starts are taken in order within (document, item); a window is near if the row before, within slop, holds what this one lacks.
+    Each start is taken with all that follow within slop; a window is near if together they hold its terms, at different words.
     """
-    order = Window.partitionBy("doc_id", "h", "item_id").orderBy("start")
-    last = held.where("size(some) > 0").withColumn("was", F.lag("places").over(order)).withColumn("from", F.lag("start").over(order))
-    near = last.where(f"start - from <= {slop} and exists(some, n -> size(array_except(n, places)) > 0 and size(array_except(array_except(n, places), was)) = 0)")
-    return near.groupBy("doc_id", "h").agg(F.countDistinct("item_id").alias("n_near"))
+    within = Window.partitionBy("doc_id", "h", "item_id").orderBy("start").rangeBetween(0, slop)
+    pairs = F.expr("flatten(transform(c, x -> transform(x.places, p -> struct(p as place, x.start + p as pos))))")
+    together = met.withColumn("c", F.collect_list(F.struct("start", "places")).over(within)).select("doc_id", "h", "item_id", pairs.alias("c"))
+    needs = per_item.select("item_id", F.expr("array_distinct(transform(wins, w -> w.need))").alias("needs"))
+    full = F.expr("exists(needs, n -> size(array_except(n, c.place)) = 0 and size(array_distinct(filter(c, y -> array_contains(n, y.place)).pos)) >= size(n))")
+    near = together.join(maybe_broadcast(needs, 8192), "item_id").where(full).select("doc_id", "h", F.regexp_replace("item_id", "\\x00[^\\x00]*$", "").alias("item")).distinct()
+    held = exact.select("doc_id", "h", F.col("found.item_id").alias("held"))
+    others = near.alias("a").join(held.alias("b"), SAME(*(dict(doc_id=F.col(f"{x}.doc_id"), h=F.col(f"{x}.h")) for x in "ab")), "left").where("held is null or not array_contains(held, item)")
+    return others.groupBy("a.doc_id", "a.h").agg(F.count(F.lit(1)).alias("n_near"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int = 2, slop: int = 4) -> DataFrame:
@@ -125,6 +137,12 @@ def op6_decontam(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_decontam_near(spark, sf_dir: str) -> DataFrame:
+    """What op6_decontam gives, and how many further items every document holds nearly."""
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
+
+
 ORACLE = r"""
 with d as (select doc_id, row_number() over () as rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 b as (select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),

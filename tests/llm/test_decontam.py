@@ -45,6 +45,22 @@ def test_proximity(spark):
     assert got == {1: (0, 1), 2: (3, 0), 3: (0, 0)}
 
 
+def test_near_is_whole(spark, tmp_path):
+    """Another term's start in between, a word that differs and a word no text has don't hide an item; one word isn't two."""
+    from cairn.llm import registry
+
+    long = [f"p{k}" for k in range(1, 21)]
+    bench = [("long", " ".join(long)), ("a", "a1 a2 a3 a4"), ("twin", "twin twin"), ("u", "unheard u1 u2 u3")]
+    docs = {
+        "p1 z z z p2 z z z z z z z z z z p15": 1, "a1 z a3 a4": 1, "a1 a2 a3 a4": 0, "a1 " + "far " * 9 + "a3": 0, "one twin": 0, "twin z twin": 1, "z u1 u2 u3": 1,
+        " ".join(w for w in long if w not in ("p1", "p2", "p15")) * 5 + "a2 a4 " * 9: None,
+    }
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r.n_near for r in registry.FURTHER["op6_decontam_near"](spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(7)] == list(docs.values())[:7]  # the last makes words common
+
+
 def test_empty(spark, docs, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontam.decontaminate(docs, bench).collect()} == {0}
