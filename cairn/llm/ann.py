@@ -6,7 +6,8 @@ that the largest inner product is the least distance.  A query walks the tree
 best bin first: a priority queue holds the nodes seen so far by the distance to
 their centres, so leaves come out in the order in which they promise most.
 How many leaves to visit is widened until calibration queries, searched
-exactly against all rows, reach ``recall``.
+exactly against all rows, reach ``recall``; a query whose leaves hold fewer than k
+other rows of the whole table visits further ones.
 
 Leaves are cut into blocks of bounded size and so are the queries that visit
 one; each (leaf, block, group of queries) is a task's product of two small
@@ -16,7 +17,7 @@ Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part, nor do rows without an id;
 rows that repeat a query's id are its own; a query id searches once; repeated
 candidates each count; ties go to the smaller id; with fewer candidates than k
-all are returned, if their leaves are visited; an empty table gives no rows;
+all are returned; an empty table gives no rows;
 further columns are ignored.
 """
 
@@ -92,13 +93,14 @@ class Tree:
             todo += [(child, rows[near == k]) for k, child in enumerate(self.children[node]) if (near == k).any()]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves of a best-bin-first walk."""
-        queue, out = [(0.0, self.root)], []
-        while queue and len(out) < most:
+    def visits(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves of a best-bin-first walk; given the leaves' sizes, as many more as hold least rows."""
+        queue, out, held = [(0.0, self.root)], [], 0
+        while queue and (len(out) < most or sizes is not None and held < least):
             _, node = heapq.heappop(queue)
             if node < 0:
                 out.append(~node)
+                held += 0 if sizes is None else int(sizes[~node])
                 continue
             c = self.centres[node]
             for far, child in zip((((c - q) ** 2).sum(1)).tolist(), self.children[node], strict=True):
@@ -198,12 +200,15 @@ def search(embeddings: DataFrame, every: int = EVERY, k: int = K, sample: int =
 
     def walk(batches):
         for b in batches:
-            for q, i, v in zip(array(b.column("v"), d), b.column("vec_id").to_pylist(), b.column("v"), strict=True):
-                to = tree.visits(np.append(q, 0.0), visits)
+            for q, i, v, copies in zip(array(b.column("v"), d), b.column("vec_id").to_pylist(), b.column("v"), b.column("copies").to_pylist(), strict=True):
+                to = tree.visits(np.append(q, 0.0), visits, held, k + copies)
                 yield pa.record_batch([pa.array(to, pa.int64()), pa.array([i] * len(to), pa.int64()), pa.array([least(q, i, to)] * len(to)), pa.array([v.as_py()] * len(to), pa.list_(pa.float64()))], ["leaf", "query_id", "least", "q"])
 
     placed = stored(rows.mapInArrow(place, "leaf long, vec_id long, v array<double>"), "ann-leaves")
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    held = np.zeros(tree.n_leaves, np.int64)
+    for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():
+        held[r.leaf] = r.n
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"))
     asked = stored(queries.mapInArrow(walk, "leaf long, query_id long, least double, q array<double>"), "ann-queries")
     cut = lambda df: df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
     sizes = cut(placed).withColumnRenamed("k", "blocks").join(cut(asked).withColumnRenamed("k", "groups"), "leaf")

@@ -39,6 +39,14 @@ def test_recall_order_and_scores(spark, data, block):
     assert hit >= 0.9 * 10 * len(want)
 
 
+def test_small_leaves_are_made_up_for(spark, data):
+    """Queries get k rows though one visit is enough for the recall asked for; a query's own repeats don't count."""
+    rows = [(k, [float(y) for y in v]) for k, v in enumerate(data)]
+    df = spark.createDataFrame(rows + [rows[40]] * 30, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.search(df, k=10, sample=400, leaf=20, recall=0.01).groupBy("query_id").count().collect()
+    assert len(got) == 45 and {r["count"] for r in got} == {10}
+
+
 def test_tree_walk_gives_every_leaf_once(data):
     tree = ann.Tree(data, 900, leaf=40)
     order = tree.visits(data[3], tree.n_leaves)
