@@ -8,6 +8,7 @@ read again with column pruning.  Tables are removed when the driver ends.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,27 +34,41 @@ def shared_path(spark: SparkSession, name: str) -> str:
 TEXT_ROWS = 1000
 
 
-def stored(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
-    """df, written to the shared folder and read again. texts: rows that go to Python hold whole texts, so fewer go at once."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path, kept = shared_path(spark, name), spark.conf.get(key)
-    if texts:
-        spark.conf.set(key, min(TEXT_ROWS, int(kept)) if int(kept) > 0 else TEXT_ROWS)
+@contextmanager
+def settings(spark: SparkSession, **values):
+    """The session with other settings for a while; names have __ for a dot."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
     try:
-        df.write.parquet(path)
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
     finally:
-        spark.conf.set(key, kept)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
+    """df, written to the shared folder and read again; shuffle files behind it go once it is written.
+
+    texts: rows that go to Python hold whole texts, so fewer go at once.
+    """
+    spark = df.sparkSession
+    path, rows = shared_path(spark, name), int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if texts:
+        rows = min(TEXT_ROWS, rows) if rows > 0 else TEXT_ROWS
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=rows, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
 def dropped(df: DataFrame) -> None:
-    """Deletes the table of stored() that nothing reads any more, and lets Spark clear the shuffle files behind it."""
+    """Deletes the table of stored() that nothing reads any more."""
     spark = df.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    spark._jvm.System.gc()
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
