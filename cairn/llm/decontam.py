@@ -38,10 +38,15 @@ def words(text: str) -> Column:
     return F.array_remove(F.split(lowered, BETWEEN), "")
 
 
+def numbered(items: DataFrame) -> DataFrame:
+    """item, item_id, w: each different row of the benchmark that has words, numbered, so that rows that repeat an id stay apart."""
+    rows = pick(items, item_id="string", text="string").where("item_id is not null").select("item_id", words("text").alias("w")).where("size(w) > 0").distinct()
+    return stored(rows.select(F.monotonically_increasing_id().alias("item"), "item_id", "w"), "decontam-items")
+
+
 def windows(items: DataFrame, width: int) -> DataFrame:
-    """item_id, at, win: each run of width words of an item, or all of a shorter one. item_id has the text's hash after END, so rows that repeat an id stay apart."""
-    w = pick(items, item_id="string", text="string").where("item_id is not null").select(F.concat_ws(END, "item_id", F.xxhash64("text").cast("string")).alias("item_id"), words("text").alias("w")).where("size(w) > 0")
-    return w.select("item_id", "w", F.explode(F.expr(f"sequence(0, greatest(size(w) - {width}, 0))")).alias("at")).select("item_id", "at", F.expr(f"slice(w, at + 1, {width})").alias("win"))
+    """item, at, win: each run of width words of an item, or all of a shorter one."""
+    return items.select("item", "w", F.explode(F.expr(f"sequence(0, greatest(size(w) - {width}, 0))")).alias("at")).select("item", "at", F.expr(f"slice(w, at + 1, {width})").alias("win"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -49,77 +54,121 @@ def keyed(docs: DataFrame) -> DataFrame:
     return pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("h"), "text")
 
 
-SAME = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
+DOC = ["doc_id", "h"]
+
+
+def same(left: str, right: str):
+    """Whether rows of the aliases are of one document; a null id is like any other."""
+    return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.h") == F.col(f"{right}.h"))
+
+
+def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n: occurrences of the terms in all documents. Terms above the broadcast bound are joined with sums, which no term makes hot."""
+    every, few = docs.select(F.explode(words("text")).alias("term")), maybe_broadcast(terms)
+    if few is not terms:
+        return every.join(few, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return every.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms, "term")
 
 
 def anchors(docs: DataFrame, wins: DataFrame, rarest: int, near: bool = False) -> DataFrame:
-    """item_id, at, win, offsets: each window's rarest terms by their count over all documents.
+    """item, at, win, terms, need: each window's rarest terms by their count over all documents, and their places in the item.
 
     Windows with a term that never occurs are gone; if near, they have the rarest of the terms that occur, and are gone if those are too few.
     """
-    terms = wins.select(F.explode("win").alias("term")).distinct()
-    counts = docs.select(F.explode(words("text")).alias("term")).join(maybe_broadcast(terms, 64), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    each = wins.select("item_id", "at", "win", F.posexplode("win").alias("o", "term")).join(counts, "term", "left")
+    terms = stored(wins.select(F.explode("win").alias("term")).distinct(), "decontam-terms")
+    each = wins.select("item", "at", "win", F.posexplode("win").alias("o", "term")).join(term_counts(docs, terms), "term", "left")
     some = f"by[0].n > 0 or size(filter(by, x -> x.n > 0)) >= {max(rarest, 2)}" if near else "by[0].n > 0"
-    return each.groupBy("item_id", "at").agg(F.first("win").alias("win"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "term"))).alias("by")).where(some).withColumn("by", F.expr("filter(by, x -> x.n > 0)")).select("item_id", "at", "win", F.expr(f"transform(slice(by, 1, {rarest}), x -> struct(x.o as o, x.term as term))").alias("rare"))
+    by = each.groupBy("item", "at").agg(F.first("win").alias("win"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "term"))).alias("by"))
+    by = by.where(some).withColumn("by", F.expr(f"slice(filter(by, x -> x.n > 0), 1, {rarest})"))
+    return by.select("item", "at", "win", F.expr("transform(by, x -> x.term)").alias("terms"), F.expr("transform(by, x -> at + x.o)").alias("need"))
+
+
+def posted_terms(plan: DataFrame) -> DataFrame:
+    """term, places: where anchors stand in items, and whether one is all that some window needs; END has none."""
+    zipped = F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("need").alias("place")))
+    each = plan.select("item", zipped.alias("p"), (F.size("need") == 1).alias("alone")).groupBy("p.term", "item", "p.place").agg(F.max("alone").alias("alone"))
+    posted = each.groupBy("term").agg(F.collect_list(F.struct("item", "place", "alone")).alias("places"))
+    end = plan.sparkSession.range(1).select(F.lit(END).alias("term"), F.expr("cast(array() as array<struct<item:bigint,place:int,alone:boolean>>)").alias("places"))
+    return stored(posted.unionByName(end), "decontam-posted")
+
+
+def meetings(postings: DataFrame, slop: int) -> DataFrame:
+    """doc_id, h, item, start, places: the places of an item that stand at their distances from one start.
+
+    Only starts that can matter: of several places, of one that a window needs alone, or with another start within slop.
+    Documents and items are dealt once, for the sums as for the neighbours.
+    """
+    starts = postings.where("places is not null").select(*DOC, "pos", F.explode("places").alias("p")).select(*DOC, "p.item", (F.col("pos") - F.col("p.place")).alias("start"), "p.place", "p.alone")
+    met = starts.repartition(*DOC, "item").groupBy(*DOC, "item", "start").agg(F.collect_set("place").alias("places"), F.max("alone").alias("alone"))
+    matters = (F.size("places") > 1) | F.col("alone")
+    if slop:
+        order = Window.partitionBy(*DOC, "item").orderBy("start")
+        met = met.withColumn("before", F.col("start") - F.lag("start").over(order)).withColumn("after", F.lead("start").over(order) - F.col("start"))
+        matters = matters | (F.coalesce("before", F.lit(slop + 1)) <= slop) | (F.coalesce("after", F.lit(slop + 1)) <= slop)
+    return stored(met.where(matters).select(*DOC, "item", "start", "places", "alone"), "decontam-met")
+
+
+def asked(met: DataFrame, by_place: DataFrame) -> DataFrame:
+    """doc_id, h, item, start, place, at, n: each place of a start with the windows that need it, and how many places those need."""
+    each = met.select(*DOC, "item", "start", F.explode("places").alias("place"))
+    return each.join(maybe_broadcast(by_place), ["item", "place"]).select(*DOC, "item", "start", "place", F.explode("wins").alias("w")).select(*DOC, "item", "start", "place", "w.at", "w.n")
 
 
 def occurrences(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int = 2, slop: int = 4) -> tuple[DataFrame, DataFrame]:
     """(exact, counted).
 
-    exact: doc_id, h, found: for each document with candidates, its verified windows as (start, n, item_id).
+    exact: doc_id, h, found: for each document with candidates, its verified windows as (start, n, item, item_id).
     counted: doc_id, h, n_words, n_near for each row of docs; n_near: items that the document doesn't hold exactly and
     of which some window's rarest terms stand within slop words of their distances in the item.
     """
-    docs = keyed(docs)
-    wins = windows(items, width)
-    plan = stored(anchors(docs, wins, rarest, slop > 0), "decontam-anchors")
-    lists = plan.select("item_id", F.explode(F.expr("transform(rare, r -> struct(r.term as term, at + r.o as place))")).alias("p")).select("item_id", "p.*").distinct()
-    posted = lists.groupBy("term").agg(F.collect_list(F.struct("item_id", "place")).alias("places")).unionByName(
-        docs.sparkSession.range(1).select(F.lit(END).alias("term"), F.expr("cast(array() as array<struct<item_id:string,place:int>>)").alias("places")))
-    tokens = docs.select("doc_id", "h", F.posexplode(F.concat(words("text"), F.array(F.lit(END)))).alias("pos", "term"))
-    postings = stored(tokens.join(maybe_broadcast(posted, 256), "term").select("doc_id", "h", "pos", F.when(F.size("places") > 0, F.col("places")).alias("places")), "decontam-postings")
-    ends = postings.where("places is null").select("doc_id", "h", F.col("pos").cast("long").alias("n_words"))
-    starts = postings.where("places is not null").select("doc_id", "h", "pos", F.explode("places").alias("p")).select("doc_id", "h", "p.item_id", (F.col("pos") - F.col("p.place")).alias("start"), "p.place")
-    met = starts.groupBy("doc_id", "h", "item_id", "start").agg(F.collect_set("place").alias("places"))
-    per_item = plan.groupBy("item_id").agg(F.collect_list(F.struct("at", "win", F.expr("transform(rare, r -> at + r.o)").alias("need"))).alias("wins"))
-    held = met.join(maybe_broadcast(per_item, 16384), "item_id").select("doc_id", "h", "item_id", "start", "places", F.expr("filter(wins, w -> size(array_except(w.need, places)) = 0)").alias("wins"))
-    candidates = held.where("size(wins) > 0").groupBy("doc_id", "h").agg(F.flatten(F.collect_list(F.expr("transform(wins, w -> struct(start + w.at as start, w.win as win, regexp_replace(item_id, '\\\\x00[^\\\\x00]*$', '') as item_id))"))).alias("c"))
+    docs, items = keyed(docs), numbered(items)
+    plan = stored(anchors(docs, windows(items, width), rarest, slop > 0), "decontam-anchors")
+    # text's words stand alone after the split, so that it is done once for each text
+    tokens = docs.select(*DOC, F.posexplode(F.concat(words("text"), F.array(F.lit(END)))).alias("pos", "term"))
+    postings = stored(tokens.join(maybe_broadcast(posted_terms(plan)), "term").select(*DOC, "pos", F.when(F.size("places") > 0, F.col("places")).alias("places")), "decontam-postings")
+    ends = postings.where("places is null").select(*DOC, F.col("pos").cast("long").alias("n_words"))
+    met = meetings(postings, slop)
+    # at most width windows for each place that they need
+    by_place = stored(plan.select("item", "at", F.size("need").alias("n"), F.explode("need").alias("place")).groupBy("item", "place").agg(F.collect_list(F.struct("at", "n")).alias("wins")), "decontam-places")
+    full = asked(met.where((F.size("places") > 1) | F.col("alone")), by_place).groupBy(*DOC, "item", "start", "at").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where("k = n")
+    wins = stored(plan.select("item", "at", "win").join(items.select("item", "item_id"), "item"), "decontam-windows")
+    candidates = full.join(maybe_broadcast(wins), ["item", "at"]).groupBy(*DOC).agg(F.collect_list(F.struct((F.col("start") + F.col("at")).alias("start"), "win", "item", "item_id")).alias("c"))
     candidates = stored(candidates, "decontam-candidates")
-    is_d = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))
     side = candidates.withColumnsRenamed({"doc_id": "d", "h": "k"})
-    # ids first, which are few bytes and may be broadcast, so that only candidates' texts are dealt
-    texts = docs.join(maybe_broadcast(side.select("d", "k"), 48), is_d, "left_semi").join(side, is_d).select("doc_id", "h", words("text").alias("w"), "c")
-    true = F.expr("transform(filter(c, x -> x.start >= 0 and slice(w, x.start + 1, size(x.win)) = x.win), x -> struct(x.start as start, size(x.win) as n, x.item_id as item_id))")
-    exact = texts.select("doc_id", "h", true.alias("found")).where("size(found) > 0").groupBy("doc_id", "h").agg(F.first("found").alias("found"))
-    if slop:
-        exact = stored(exact, "decontam-exact")
-    near = proximity(met, per_item, exact, slop) if slop else None
-    counted = ends if near is None else ends.alias("a").join(near.alias("b"), SAME(*(dict(doc_id=F.col(f"{x}.doc_id"), h=F.col(f"{x}.h")) for x in "ab")), "left").select("a.*", F.coalesce("b.n_near", F.lit(0)).alias("n_near"))
-    return exact, counted
+    is_d = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))
+    # ids first, which are few bytes and may be broadcast, so that only candidates' texts are dealt; a generated column isn't computed anew for each candidate
+    texts = docs.join(maybe_broadcast(side.select("d", "k")), is_d, "left_semi").join(side, is_d).select(*DOC, "c", F.explode(F.array(words("text"))).alias("w"))
+    true = F.expr("transform(filter(c, x -> x.start >= 0 and slice(w, x.start + 1, size(x.win)) = x.win), x -> struct(x.start as start, size(x.win) as n, x.item as item, x.item_id as item_id))")
+    exact = stored(texts.select(*DOC, true.alias("found")).where("size(found) > 0").groupBy(*DOC).agg(F.first("found").alias("found")), "decontam-exact")
+    if not slop:
+        return exact, ends
+    near = proximity(met, by_place, items, exact, slop)
+    return exact, ends.alias("a").join(near.alias("b"), same("a", "b"), "left").select("a.*", F.coalesce("b.n_near", F.lit(0)).alias("n_near"))
 
 
-def proximity(met: DataFrame, per_item: DataFrame, exact: DataFrame, slop: int) -> DataFrame:
+def proximity(met: DataFrame, by_place: DataFrame, items: DataFrame, exact: DataFrame, slop: int) -> DataFrame:
     """doc_id, h, n_near: items without an exact window of which some window's rarest terms have starts within slop of each other.
 
-    Each start is taken with all that follow within slop; a window is near if together they hold its terms, at different words.
+    Each start of a window's place is taken with those that follow within slop, which are at most (slop + 1) for each
+    place; the window is near if together they have all places that it needs, at as many different words.
     """
-    within = Window.partitionBy("doc_id", "h", "item_id").orderBy("start").rangeBetween(0, slop)
-    pairs = F.expr("flatten(transform(c, x -> transform(x.places, p -> struct(p as place, x.start + p as pos))))")
-    together = met.withColumn("c", F.collect_list(F.struct("start", "places")).over(within)).select("doc_id", "h", "item_id", pairs.alias("c"))
-    needs = per_item.select("item_id", F.expr("array_distinct(transform(wins, w -> w.need))").alias("needs"))
-    full = F.expr("exists(needs, n -> size(array_except(n, c.place)) = 0 and size(array_distinct(filter(c, y -> array_contains(n, y.place)).pos)) >= size(n))")
-    near = together.join(maybe_broadcast(needs, 8192), "item_id").where(full).select("doc_id", "h", F.regexp_replace("item_id", "\\x00[^\\x00]*$", "").alias("item")).distinct()
-    held = exact.select("doc_id", "h", F.col("found.item_id").alias("held"))
-    others = near.alias("a").join(held.alias("b"), SAME(*(dict(doc_id=F.col(f"{x}.doc_id"), h=F.col(f"{x}.h")) for x in "ab")), "left").where("held is null or not array_contains(held, item)")
+    held = exact.select(*DOC, F.explode(F.expr("array_distinct(transform(found, x -> x.item))")).alias("item"))
+    is_held = same("a", "b") & (F.col("a.item") == F.col("b.item"))
+    rest = asked(met.alias("a").join(held.alias("b"), is_held, "left_anti"), by_place)
+    within = Window.partitionBy(*DOC, "item", "at").orderBy("start").rangeBetween(0, slop)
+    together = rest.withColumn("c", F.collect_list(F.struct("place", (F.col("start") + F.col("place")).alias("pos"))).over(within))
+    near = together.where("size(array_distinct(c.place)) = n and size(array_distinct(c.pos)) >= n").select(*DOC, "item").distinct()
+    named = near.join(maybe_broadcast(items.select("item", "item_id")), "item").select(*DOC, "item_id").distinct()
+    ids = exact.select(*DOC, F.expr("transform(found, x -> x.item_id)").alias("held"))
+    others = named.alias("a").join(ids.alias("b"), same("a", "b"), "left").where("held is null or not array_contains(held, item_id)")
     return others.groupBy("a.doc_id", "a.h").agg(F.count(F.lit(1)).alias("n_near"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int = 2, slop: int = 4) -> DataFrame:
     """doc_id, h, n_words, n_hit, n_items, items (sorted), n_near for each row of docs."""
     exact, counted = occurrences(docs, items, width, rarest, slop)
-    hit = exact.select("doc_id", "h", F.expr("size(array_distinct(flatten(transform(found, x -> sequence(x.start, x.start + x.n - 1)))))").cast("long").alias("n_hit"), F.expr("array_sort(array_distinct(transform(found, x -> x.item_id)))").alias("items"))
-    joined = counted.alias("a").join(hit.alias("b"), SAME(*(dict(doc_id=F.col(f"{x}.doc_id"), h=F.col(f"{x}.h")) for x in "ab")), "left")
+    hit = exact.select(*DOC, F.expr("size(array_distinct(flatten(transform(found, x -> sequence(x.start, x.start + x.n - 1)))))").cast("long").alias("n_hit"), F.expr("array_sort(array_distinct(transform(found, x -> x.item_id)))").alias("items"))
+    joined = counted.alias("a").join(hit.alias("b"), same("a", "b"), "left")
     none = F.expr("cast(array() as array<string>)")
     return joined.select("a.doc_id", "a.h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), *(["n_near"] if slop else []))
 
@@ -128,17 +177,11 @@ def clean(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int = 2) -
     """docs without the rows that hold a window of an item, with their columns."""
     exact, _ = occurrences(docs, items, width, rarest, slop=0)
     bad = stored(exact.select(F.col("doc_id").alias("bad_id"), F.col("h").alias("bad_h")), "decontam-found")
-    return docs.join(maybe_broadcast(bad, 32), docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_h")), "left_anti")
+    return docs.join(maybe_broadcast(bad), docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_h")), "left_anti")
 
 
 def op6_decontam(spark, sf_dir: str) -> DataFrame:
-    """Which benchmark items every document holds."""
-    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=0)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
-
-
-def op6_decontam_near(spark, sf_dir: str) -> DataFrame:
-    """What op6_decontam gives, and how many further items every document holds nearly."""
+    """Which benchmark items every document holds, and how many more it holds nearly."""
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
@@ -151,6 +194,20 @@ sizes as (select distinct n from win),
 places as (select rid, n, p, array_to_string(w[p + 1:p + n], ' ') as s from (select rid, w, n, unnest(range(0, len(w) - n + 1)) as p from d, sizes where len(w) >= n)),
 found as (select rid, places.n, p, item_id from places join win on places.n = win.n and places.s = win.s),
 hits as (select rid, count(distinct q) as n_hit from (select rid, unnest(range(p, p + n)) as q from found) group by rid),
+every as (select distinct item_id, w from b where len(w) > 0),
+terms as (select item_id, w, p, o, w[p + o] as term from (select item_id, w, p, unnest(range(1, least(len(w), 10) + 1)) as o from (select item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) as p from every))),
+tokens as (select rid, w[k] as term, k from (select rid, w, unnest(range(1, len(w) + 1)) as k from d)),
+counts as (select term, count(*) as c from tokens where term in (select term from terms) group by term),
+ranks as (select item_id, w, p, o, term, c, row_number() over (partition by item_id, w, p order by c, o) as r, count(*) over (partition by item_id, w, p) as m,
+    least(len(w), 10) as size from terms join counts using (term)),
+needs as (select item_id, w, p, o, term, least(m, 2) as n from ranks where r <= 2 and (m = size or m >= 2)),
+at as (select rid, item_id, w, p, o, n, k, k - o as s from needs join tokens using (term)),
+near as (select rid, count(*) as n_near from (
+    select distinct rid, item_id from (
+        select rid, item_id from at where n = 1
+        union all
+        select x.rid, x.item_id from at x join at y on x.rid = y.rid and x.item_id = y.item_id and x.w = y.w and x.p = y.p and x.o <> y.o and x.k <> y.k and y.s between x.s - 4 and x.s + 4)
+    where (rid, item_id) not in (select (rid, item_id) from found)) group by rid),
 items as (select rid, count(*) as n_items, string_agg(item_id, ',' order by item_id) as i from (select distinct rid, item_id from found) group by rid)
-select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(i, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join hits using (rid) left join items using (rid)"""
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(i, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near
+from d left join hits using (rid) left join items using (rid) left join near using (rid)"""

@@ -263,7 +263,7 @@ def packed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, targets:
     rest = by_queue.where(F.col("queue") == len(top)).groupBy("queue", "source").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("source").alias("rest"), "base")
     first = by_queue.withColumn("earlier", F.coalesce(F.sum("n").over(own), F.lit(0))).join(rest, F.col("source").eqNullSafe(F.col("rest")) & (F.col("queue") == len(top)), "left").select("queue", F.col("source").alias("s"), F.col("part").alias("p"), (F.col("earlier") + F.coalesce("base", F.lit(0))).alias("earlier"))
     first = stored(first, "packing-first")
-    joined = ids.join(maybe_broadcast(first, 64), F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("queue", (F.col("earlier") + F.col("before")).alias("first"), "doc_id", "n", "ids")
+    joined = ids.join(maybe_broadcast(first), F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("queue", (F.col("earlier") + F.col("before")).alias("first"), "doc_id", "n", "ids")
     whole = sum(totals) or 1
     shares = None if targets is None else [Fraction(targets.get(s, totals[q] / whole)).limit_denominator(10**6) for q, s in enumerate([*top, None])]
     return joined.mapInArrow(pieces(totals, window, length, shares), PIECES)

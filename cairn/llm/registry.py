@@ -25,9 +25,6 @@ QUERIES = {
     "op10_kd_shard": op10_kd_shard,
 }
 
-#: Queries that give more than the one of their number.
-FURTHER = {"op6_decontam_near": decontam.op6_decontam_near}
-
 ORACLES: dict[str, str] = {
     "op1_secrets": secrets.ORACLE,
     "op6_decontam": decontam.ORACLE,

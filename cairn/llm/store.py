@@ -71,9 +71,32 @@ def dropped(df: DataFrame) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df, marked for broadcast only if its counted rows fit BROADCAST_BYTES."""
-    return F.broadcast(df) if df.limit(BROADCAST_BYTES // row_bytes + 1).count() * row_bytes <= BROADCAST_BYTES else df
+def weight(df: DataFrame) -> int:
+    """Bytes that the rows may take in memory, summed over all of them: twice their JSON form and a fixed part each."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))) * 2 + 32), F.lit(0))).first()[0]
+
+
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast only if its rows' bytes, which are measured, fit BROADCAST_BYTES; else df itself. Meant for written tables."""
+    return F.broadcast(df) if weight(df) <= BROADCAST_BYTES else df
+
+
+#: Rows of one key beyond which a join doesn't deal them by the key: a 2**16th of all rows, or this many.
+HOT_ROWS, HOT_KEYS = 64, 1 << 16
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with side (one slim row of fixed width for each key), no key's rows in one task.
+
+    Keys of many rows, of which there are at most HOT_KEYS, have their side broadcast; the others' rows are dealt by key.
+    Both tables are read twice, so they are written ones.
+    """
+    limit = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot = stored(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(key), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(side, key, how)
+    few = F.broadcast(hot)
+    return rows.join(few, key, "left_anti").join(side, key, how).unionByName(rows.join(few, key, "left_semi").join(F.broadcast(side.join(few, key, "left_semi")), key, how))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -57,7 +57,7 @@ def test_near_is_whole(spark, tmp_path):
     }
     spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(bench, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.doc_id: r.n_near for r in registry.FURTHER["op6_decontam_near"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.n_near for r in registry.QUERIES["op6_decontam"](spark, str(tmp_path)).collect()}
     assert [got[k] for k in range(7)] == list(docs.values())[:7]  # the last makes words common
 
 
