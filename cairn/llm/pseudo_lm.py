@@ -1,7 +1,7 @@
 """Language-model scores by masked pseudo-likelihood.
 
 Every word is predicted from the two words on either side: the sum of four
-position's embeddings goes through one hidden layer, which gives the word's
+positions' embeddings goes through one hidden layer, which gives the word's
 class and then the word within its class.  A document's score is the sum of the
 natural logs of these conditional probabilities over all of its words.
 
@@ -12,7 +12,8 @@ the more frequent of these words are known to every task, the rest are joined.
 Every task starts from the same parameters and
 trains on every word of all of its documents, each once a round, in ``mask``
 passes over a group of documents (each pass masks every ``mask``-th word); the
-parameters' mean, weighted by words, is the model of a round.
+parameters' mean, weighted by words, is the model of a round. Tasks send their
+parameters in parts, which are summed part by part.
 
 Defined results: null, empty or blank text has no words and scores 0; rows with
 a null ``doc_id`` and repeated rows count and are scored like any other; an
@@ -31,21 +32,32 @@ from pyspark.sql import functions as F
 
 from cairn.llm.store import pick, stored, table
 
-SIDE = 32  # classes, and words in a class
-VOCABULARY, HASHED, HIDDEN, REACH = SIDE * SIDE, 127, 32, 2
+SIDE = 48  # classes, and words in a class
+VOCABULARY, HASHED, HIDDEN = SIDE * SIDE, 287, 32
 OFFSETS = (-2, -1, 1, 2)
+REACH = 2
 MASK, STEP, RATE, ROUNDS = 4, 4096, 0.3, 1
+#: A class learns as if it had this many words in a step, at least.
+LEAST = 64
 NONE = 0  # beyond either end
 #: Most hashed words whose counts every task holds; the others' are joined.
 NEAR = 1 << 17
 
-#: Parameters in the order in which they are averaged.
-SHAPES = {"embed": (len(OFFSETS), VOCABULARY, HIDDEN), "bias": (HIDDEN,), "classes": (HIDDEN, SIDE), "class_bias": (SIDE,), "words": (SIDE, HIDDEN, SIDE), "word_bias": (SIDE, SIDE)}
+#: Parameters in the order in which they are averaged; the last row of an output layer is its bias.
+SHAPES = {"embed": (len(OFFSETS), VOCABULARY, HIDDEN), "bias": (HIDDEN,), "classes": (HIDDEN + 1, SIDE), "words": (SIDE, HIDDEN + 1, SIDE)}
+#: Parameters in one row of those that tasks send.
+PART = 8192
+#: Bound of the outputs before exp, far from what training reaches.
+BOUND = 60.0
+ONES = np.ones(SIDE, np.float32)
 
 
 def initial(seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return {k: (np.zeros(s) if "bias" in k else rng.normal(0, 0.1, s)).astype(np.float32) for k, s in SHAPES.items()}
+    p = {k: (np.zeros(s) if k == "bias" else rng.normal(0, 0.1, s)).astype(np.float32) for k, s in SHAPES.items()}
+    p["classes"][HIDDEN] = 0
+    p["words"][:, HIDDEN] = 0
+    return p
 
 
 def numbers(text: bytes | None, known: dict[bytes, int]) -> list[int]:
@@ -54,69 +66,81 @@ def numbers(text: bytes | None, known: dict[bytes, int]) -> list[int]:
     return [get(w) or zlib.crc32(w) % HASHED + 1 for w in (text or b"").lower().split()]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x -= x.max(1, keepdims=True)
+    """In place. The sums are matrix products, which are faster than sums of short rows."""
+    np.clip(x, -BOUND, BOUND, out=x)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x /= (x @ ONES)[:, None]
     return x
 
 
+def _log_chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """ln of the softmax of each row at one of its places; x is used up."""
+    np.clip(x, -BOUND, BOUND, out=x)
+    chosen = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return chosen - np.log(x @ ONES)
+
+
+def by_class(words: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice, int]]]:
+    """(order, runs): an order in which the words of a class stand together, and where those of each class that occurs do."""
+    c = (words // SIDE).astype(np.uint16)
+    sizes = np.bincount(c, minlength=SIDE)
+    ends = np.cumsum(sizes).tolist()
+    return np.argsort(c, kind="stable"), [(k, slice(e - m, e), m) for k, (e, m) in enumerate(zip(ends, sizes.tolist(), strict=True)) if m]
+
+
 def hidden(p: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
+    """The hidden layer of each row and a one, which multiplies the biases."""
     x = p["bias"] + p["embed"][0].take(around[:, 0], 0)
     for k in range(1, len(OFFSETS)):
         x += p["embed"][k].take(around[:, k], 0)
-    return np.tanh(x, out=x)
+    out = np.ones((len(x), HIDDEN + 1), np.float32)
+    np.tanh(x, out=out[:, :HIDDEN])
+    return out
 
 
 def log_probabilities(p: dict[str, np.ndarray], words: np.ndarray, around: np.ndarray) -> np.ndarray:
     """ln P(word | words around it) of each row."""
-    h = hidden(p, around)
-    c, w = words // SIDE, words % SIDE
-    out = _log_softmax(h @ p["classes"] + p["class_bias"])[np.arange(len(words)), c]
-    for k in np.unique(c):
-        rows = np.flatnonzero(c == k)
-        out[rows] += _log_softmax(h[rows] @ p["words"][k] + p["word_bias"][k])[np.arange(len(rows)), w[rows]]
+    order, own = by_class(words)
+    words, h = words[order], hidden(p, around[order])
+    got = _log_chosen(h @ p["classes"], words // SIDE)
+    x = np.empty((len(h), SIDE), np.float32)
+    for k, rows, _ in own:
+        np.matmul(h[rows], p["words"][k], out=x[rows])
+    out = np.empty(len(h))
+    out[order] = got + _log_chosen(x, words % SIDE)
     return out
 
 
 def learn(p: dict[str, np.ndarray], words: np.ndarray, around: np.ndarray, rate: float) -> None:
     """One gradient step on the rows, in place."""
-    order = np.argsort((words // SIDE).astype(np.uint16), kind="stable")  # so that a class's rows are a slice
+    order, own = by_class(words)
     words, around = words[order], around[order]
     n, h = len(words), hidden(p, around)
-    each, c, w = np.arange(n), words // SIDE, words % SIDE
-    g = _softmax(h @ p["classes"] + p["class_bias"])
-    g[each, c] -= 1
-    back = g @ p["classes"].T
-    sizes = np.bincount(c, minlength=SIDE).tolist()
-    ends = np.cumsum(sizes).tolist()
-    own = [(k, slice(e - m, e), m) for k, (e, m) in enumerate(zip(ends, sizes, strict=True)) if m]
+    each = np.arange(n)
+    g = _softmax(h @ p["classes"])
+    g[each, words // SIDE] -= 1
+    back = g @ p["classes"][:HIDDEN].T
     gw = np.empty((n, SIDE), np.float32)
     for k, rows, _ in own:
-        gw[rows] = h[rows] @ p["words"][k] + p["word_bias"][k]
+        np.matmul(h[rows], p["words"][k], out=gw[rows])
     _softmax(gw)
-    gw[each, w] -= 1
+    gw[each, words % SIDE] -= 1
     for k, rows, m in own:
-        back[rows] += gw[rows] @ p["words"][k].T
-        p["words"][k] -= rate / max(m, 64) * (h[rows].T @ gw[rows])
-        p["word_bias"][k] -= rate / max(m, 64) * gw[rows].sum(0)
+        back[rows] += gw[rows] @ p["words"][k, :HIDDEN].T
+        p["words"][k] -= rate / max(m, LEAST) * (h[rows].T @ gw[rows])
     p["classes"] -= rate / n * (h.T @ g)
-    p["class_bias"] -= rate / n * g.sum(0)
-    back *= 1 - h * h
+    back *= 1 - h[:, :HIDDEN] ** 2
     p["bias"] -= rate / n * back.sum(0)
-    for k in range(len(OFFSETS)):
-        at = around[:, k].astype(np.uint16)
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-        scale = (rate / np.sqrt(float(n) * np.diff(first, append=n))).astype(np.float32)
-        p["embed"][k][at[first]] -= scale[:, None] * np.add.reduceat(back[order], first, 0)
+    # all offsets at once: places in the flat table, sorted, so that a place's rows are summed together
+    at = (around + np.arange(len(OFFSETS)) * VOCABULARY).ravel().astype(np.uint16)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+    step = np.add.reduceat(back.take(order // len(OFFSETS), 0), first, 0)
+    step *= (rate / np.sqrt(float(n) * np.diff(first, append=len(at)))).astype(np.float32)[:, None]
+    p["embed"].reshape(-1, HIDDEN)[at[first]] -= step
 
 
 def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,6 +225,16 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def _summed(batches):
+    """Sums of the parts of parameters, in order of part; of a part, a row of each task."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, x in zip(b.column("part").to_pylist(), b.column("data"), strict=True):
+            x = np.frombuffer(x.as_buffer(), np.float64)
+            sums[k] = sums[k] + x if k in sums else x
+    yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "data"])
+
+
 def train(rows: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS, mask: int = MASK) -> dict[str, np.ndarray]:
     p = initial()
     for turn in range(rounds):
@@ -214,12 +248,14 @@ def train(rows: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS, mask:
                 for k in range(0, len(words), STEP):
                     learn(own, words[k : k + STEP], around[k : k + STEP], RATE)
                 n += len(words)
-            x = flat(own) * float(n)
-            yield pa.record_batch([pa.array(np.arange(len(x) + 1)), pa.array(np.append(x, n).astype(float))], ["i", "s"])
-
-        total = np.zeros(sum(int(np.prod(s)) for s in SHAPES.values()) + 1)
-        for r in rows.mapInArrow(work, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():
-            total[r.i] = r.s
+            x = np.append(flat(own) * float(n), n)
+            parts = [x[k : k + PART].tobytes() for k in range(0, len(x), PART)]
+            yield pa.record_batch([pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["part", "data"])
+
+        kind, got = "part long, data binary", {}
+        for r in rows.mapInArrow(work, kind).repartition("part").mapInArrow(_summed, kind).collect():
+            got[r.part] = np.frombuffer(r.data, np.float64)
+        total = np.concatenate([got[k] for k in sorted(got)]) if got else np.zeros(1)
         if total[-1]:
             p = unflat(total[:-1] / total[-1])
     return p

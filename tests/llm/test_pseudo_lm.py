@@ -8,7 +8,8 @@ def slow(p, ids):
     for k, w in enumerate(ids):
         around = [ids[k + o] if 0 <= k + o < len(ids) else lm.NONE for o in lm.OFFSETS]
         h = np.tanh(p["bias"] + sum(p["embed"][j][a] for j, a in enumerate(around)))
-        for x, y in ((h @ p["classes"] + p["class_bias"], w // lm.SIDE), (h @ p["words"][w // lm.SIDE] + p["word_bias"][w // lm.SIDE], w % lm.SIDE)):
+        h = np.append(h, 1)
+        for x, y in ((h @ p["classes"], w // lm.SIDE), (h @ p["words"][w // lm.SIDE], w % lm.SIDE)):
             total += x[y] - np.log(np.exp(x - x.max()).sum()) - x.max()
     return total
 
@@ -37,7 +38,7 @@ def test_every_word_is_a_target(spark):
     """A text of period four: each of its words is learned in one round, not only that at every fourth place."""
     df = spark.createDataFrame([(1, b"alpha beta gamma delta " * 400)], "doc_id long, text binary")
     known = lm.vocabulary(df)
-    bias = lm.train(df, known)["word_bias"].ravel()
+    bias = lm.train(df, known)["words"][:, lm.HIDDEN].ravel()
     assert all(bias[k] > 0 for k in known.values())
 
 
@@ -70,5 +71,55 @@ def test_gradient_lowers_the_loss():
     assert lm.log_probabilities(p, words, around).mean() > before + 0.5
 
 
+def test_steps_are_the_numeric_gradient():
+    """What learn subtracts, its scales taken out, is the gradient of the loss by differences."""
+    rng = np.random.default_rng(2)
+    p = {k: v + rng.normal(0, 0.2, v.shape).astype(np.float32) for k, v in lm.initial().items()}
+    words, around = rng.integers(1, 200, 40), rng.integers(0, 30, (40, 4))
+    after = {k: v.copy() for k, v in p.items()}
+    lm.learn(after, words, around, 1.0)
+    n, loss = len(words), lambda: -lm.log_probabilities(p, words, around).sum()
+
+    def check(name, place, scale):
+        kept, eps = p[name][place], 1e-2
+        p[name][place] = kept + eps
+        high = loss()
+        p[name][place] = kept - eps
+        low = loss()
+        p[name][place] = kept
+        assert abs((high - low) / (2 * eps) - (kept - after[name][place]) * scale) < 2e-2, (name, place)
+
+    for k in range(0, lm.HIDDEN + 1, 4):
+        check("classes", (k, int(words[k] // lm.SIDE)), n)
+        c, m = int(words[k] // lm.SIDE), int((words // lm.SIDE == words[k] // lm.SIDE).sum())
+        check("words", (c, k, int(words[k] % lm.SIDE)), max(m, lm.LEAST))
+    for k in range(0, lm.HIDDEN, 5):
+        check("bias", (k,), n)
+        for o in range(4):
+            w = int(around[k, o])
+            check("embed", (o, w, k), np.sqrt(n * (around[:, o] == w).sum()))
+
+
+def test_many_tasks_send_one_mean(spark):
+    """The model of a round is the mean of its tasks', weighted by words."""
+    texts = [(k, ("alpha beta " if k % 2 else "gamma delta ") * (10 + k)) for k in range(8)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("doc_id", "cast(text as binary) as text")
+    known = lm.vocabulary(df)
+    parts = df.repartition(3, "doc_id")
+    each = parts.rdd.glom().map(lambda rows: [r.text for r in rows]).collect()
+    total, n = 0, 0
+    for texts in each:
+        own = lm.initial()
+        ids = [lm.NONE] * 2
+        for t in texts:
+            ids += lm.numbers(bytes(t), known) + [lm.NONE] * 2
+        at, around = lm.windows(np.array(ids, np.int64))
+        if len(at):
+            order = np.argsort(at % lm.MASK, kind="stable")
+            lm.learn(own, np.array(ids)[at[order]], around[order], lm.RATE)
+            total, n = total + lm.flat(own).astype(float) * len(at), n + len(at)
+    assert np.allclose(lm.flat(lm.train(parts, known)), total / n, atol=1e-4)
+
+
 def test_empty(none):
     assert lm.scored(none).count() == 0
