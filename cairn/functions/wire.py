@@ -112,8 +112,18 @@ def varint_column(n: Column) -> Column:
     return out
 
 
-def blob_ref(data: Column) -> Column:
-    """The reference of a blob, without leaving the JVM."""
+def blob_payload(data: Column) -> Column:
+    """A blob in wire form, without leaving the JVM."""
     size = F.octet_length(data).cast("long")
     inner = F.when(size == 0, F.unhex(F.lit(""))).otherwise(F.concat(F.unhex(F.lit("0A")), varint_column(size), data))
-    return F.unhex(F.sha1(F.concat(F.unhex(F.lit("22")), varint_column(F.octet_length(inner).cast("long")), inner)))
+    return F.concat(F.unhex(F.lit("22")), varint_column(F.octet_length(inner).cast("long")), inner)
+
+
+def blob_ref(data: Column) -> Column:
+    """The reference of a blob."""
+    return F.unhex(F.sha1(blob_payload(data)))
+
+
+def blob_tail(payload: Column, length: Column) -> Column:
+    """The data of a blob's wire form, which ends it, given its length."""
+    return F.substring(payload, (F.octet_length(payload) - length + 1).cast("int"), length.cast("int"))

@@ -16,45 +16,106 @@ MAX_CHUNK, MAX_PARTS = 1 << 20, 25_000
 REACH, OFFSET, BITS = 64, 31, 13
 
 
-def boundaries(data: bytes, max_chunk: int = MAX_CHUNK) -> list[int]:
-    """Ends of the content-defined chunks. The checksum runs on over cuts; what remains is a chunk; no bytes, no chunks."""
-    n = len(data)
-    if not n:
-        return []
-    x = np.frombuffer(data, np.uint8).astype(np.int64)
-    gone = np.concatenate([np.zeros(min(REACH, n), np.int64), x[:-REACH]])
-    # both sums as running totals over all bytes: s1 of the window, s2 of the s1's
-    s1 = REACH * OFFSET + np.cumsum(x - gone)
-    s2 = REACH * (REACH - 1) * OFFSET + np.cumsum(s1 - REACH * (gone + OFFSET))
-    ones = (1 << BITS) - 1
-    at, ends = 0, []
-    for cut in (np.flatnonzero(s2 & ones == ones) + 1).tolist():
-        while cut - at > max_chunk:
+def cuts(blocks, max_chunk: int = MAX_CHUNK):
+    """Ends of the content-defined chunks of the bytes that blocks hold together, each as soon as it is known.
+
+    The checksum runs on over cuts; what remains is a chunk; no bytes, no chunks.
+    """
+    ones, at, done = (1 << BITS) - 1, 0, 0
+    tail, s1, s2 = np.zeros(REACH, np.int64), REACH * OFFSET, REACH * (REACH - 1) * OFFSET
+    for block in blocks:
+        if not len(block):
+            continue
+        x = np.frombuffer(block, np.uint8).astype(np.int64)
+        both = np.concatenate([tail, x])
+        gone, tail = both[: len(x)], both[-REACH:]
+        # both sums as running totals over all bytes: s1 of the window, s2 of the s1's
+        one = s1 + np.cumsum(x - gone)
+        two = s2 + np.cumsum(one - REACH * (gone + OFFSET))
+        s1, s2 = one[-1], two[-1]
+        for cut in (np.flatnonzero(two & ones == ones) + done + 1).tolist():
+            while cut - at > max_chunk:
+                at += max_chunk
+                yield at
+            if cut > at:
+                at = cut
+                yield at
+        done += len(x)
+        while done - at > max_chunk:
             at += max_chunk
-            ends.append(at)
-        if cut > at:
-            ends.append(cut)
-            at = cut
-    while n - at > max_chunk:
-        at += max_chunk
-        ends.append(at)
-    return ends + [n] if at < n else ends
+            yield at
+    if at < done:
+        yield done
+
+
+def boundaries(data: bytes, max_chunk: int = MAX_CHUNK) -> list[int]:
+    return list(cuts([data], max_chunk))
+
+
+#: Bytes of a file that are read at once, and bytes of chunks that leave a task together.
+BLOCK = 8 << 20
+
+
+def pieces(blocks, max_chunk: int = MAX_CHUNK):
+    """(offset, bytes) of each chunk; no more than a block and a chunk are held."""
+    held, begin, end = bytearray(), 0, 0
+
+    def taken():
+        for b in blocks:
+            held.extend(b)
+            yield b
+
+    for end in cuts(taken(), max_chunk):
+        yield begin, bytes(held[: end - begin])
+        del held[: end - begin]
+        begin = end
+
+
+PARTS = "part_no long, offset long, length long, ref string, data binary"
+
+
+def _cut(sources, key: str, kind: pa.DataType, max_chunk: int):
+    """Record batches of the chunks of (key, blocks)."""
+    rows, held = [], 0
+
+    def batch():
+        kinds = (kind, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [key, *[f.split()[0] for f in PARTS.split(", ")]])
+
+    for k, blocks in sources:
+        for n, (at, data) in enumerate(pieces(blocks, max_chunk)):
+            rows.append((k, n, at, len(data), hashlib.sha1(data).hexdigest(), data))
+            held += len(data)
+            if held > BLOCK:
+                yield batch()
+                rows, held = [], 0
+    if rows:
+        yield batch()
 
 
 def content_parts(files: DataFrame, key: str, content: str, max_chunk: int = MAX_CHUNK) -> DataFrame:
-    """key, part_no, offset, length, ref (hex SHA-1), data of content-defined chunks."""
+    """key, part_no, offset, length, ref (hex SHA-1 of the data), data of content-defined chunks."""
 
     def cut(batches):
         for b in batches:
-            for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data, rows, at = v.as_py() or b"", [], 0
-                for n, end in enumerate(boundaries(data, max_chunk)):
-                    rows.append((k, n, at, end - at, hashlib.sha1(data[at:end]).hexdigest(), data[at:end]))
-                    at = end
-                if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], [key, "part_no", "offset", "length", "ref", "data"])
-
-    return files.select(key, F.col(content).cast("binary").alias(content)).mapInArrow(cut, f"{key} {dict(files.dtypes)[key]}, part_no long, offset long, length long, ref string, data binary")
+            yield from _cut(((k, [v.as_py() or b""]) for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True)), key, b.schema.field(0).type, max_chunk)
+
+    return files.select(key, F.col(content).cast("binary").alias(content)).mapInArrow(cut, f"{key} {dict(files.dtypes)[key]}, {PARTS}")
+
+
+def file_parts(files: DataFrame, base: str, max_chunk: int = MAX_CHUNK) -> DataFrame:
+    """content_parts of files (path below base, a folder that all executors share), read a block at a time, so that files of any size fit."""
+
+    def blocks(path: str):
+        with open(f"{base}/{path}", "rb") as f:
+            while data := f.read(BLOCK):
+                yield data
+
+    def cut(batches):
+        for b in batches:
+            yield from _cut(((k, blocks(k)) for k in b.column(0).to_pylist()), "path", pa.string(), max_chunk)
+
+    return files.select("path").mapInArrow(cut, f"path string, {PARTS}")
 
 
 def fixed_parts(files: DataFrame, key: str, content: str, size: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.schemas import INVALID, TOMBSTONE
+from cairn.schemas import COMMIT, FILE, INVALID, TOMBSTONE, TREE
 
 
 def walk(objects: DataFrame, type_: int = INVALID, load: bool = True, payload: str = "payload") -> DataFrame:
@@ -42,6 +42,17 @@ def get(refs: DataFrame, objects: DataFrame, payload: str = "payload") -> DataFr
     return refs.join(sound, "ref", "left")
 
 
+def cacheable(objects: DataFrame) -> DataFrame:
+    """Objects that a cache may hold: commits, trees and files, not the blobs that most bytes are in."""
+    return objects.where(F.col("type").isin(COMMIT, TREE, FILE))
+
+
+def read_through(refs: DataFrame, cache: DataFrame, objects: DataFrame) -> DataFrame:
+    """Every reference with what the cache has of it, else with what is stored; null where there is none."""
+    hit = refs.join(cache, "ref")
+    return hit.unionByName(refs.join(cache.select("ref"), "ref", "left_anti").join(objects, "ref", "left"))
+
+
 def counts(objects: DataFrame) -> DataFrame:
     """Rows and different references."""
     each = objects.groupBy("ref").agg(F.count(F.lit(1)).alias("n"))

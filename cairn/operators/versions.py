@@ -55,11 +55,13 @@ def bucket(ts: Column, anchor: Column, tiers=TIERS, oldest: str = OLDEST) -> Col
 def retained(commits: DataFrame, set_col: str, ts: str, anchor: Column, tiers=TIERS) -> DataFrame:
     """The earliest commits of each set and bucket; ties at the earliest are all kept.
 
-    The minimum is pre-aggregated and joined back, so a bucket of very many commits is no hot window.
+    The minimum is pre-aggregated and joined back, so a bucket of very many commits is no hot window. Commits without a set are a
+    set of their own, and those without a time a bucket.
     """
     dated = commits.withColumn("bucket", bucket(F.col(ts), anchor, tiers))
-    first = dated.groupBy(set_col, "bucket").agg(F.min(ts).alias("first"))
-    return dated.join(first, [set_col, "bucket"]).where(F.col(ts) == F.col("first")).drop("bucket", "first")
+    first = dated.groupBy(F.col(set_col).alias("of"), F.col("bucket").alias("in")).agg(F.min(ts).alias("first"))
+    same = F.col(set_col).eqNullSafe(F.col("of")) & F.col("bucket").eqNullSafe(F.col("in")) & F.col(ts).eqNullSafe(F.col("first"))
+    return dated.join(first, same, "left_semi").drop("bucket")
 
 
 def reusable(current: DataFrame, latest: DataFrame, keys: list[str], ts: str) -> DataFrame:

@@ -78,7 +78,8 @@ DEEP = """(select 'root' as tree_ref, r_name as name, true as is_tree, 'r' || r_
     union all select 'n' || c_nationkey, c_name, true, 'c' || c_custkey from customer
     union all select 'c' || o_custkey, cast(o_orderkey as varchar), false, 'o' || o_orderkey from orders)"""
 SIZES = f"(select archive, cast(sum(length) as bigint) as size from {ENTRIES} group by 1)"
-SMALL = 125_000  # archives of fewer bytes are candidates at sf0.01
+#: Archives of fewer bytes than half of them are candidates, so that some are and some aren't at any size of the tables.
+SMALL = f"(select cast(quantile_disc(size, 0.5) as bigint) from {SIZES})"
 
 # Scans, filters, sinks
 
@@ -335,6 +336,10 @@ def archive_sizes(spark, sf_dir):
     return _sizes(Views(spark, sf_dir).meta())
 
 
+def _small(entries: DataFrame) -> int:
+    return _sizes(entries).agg(F.expr("percentile_disc(0.5) within group (order by size)")).first()[0]
+
+
 def _sizes(entries: DataFrame) -> DataFrame:
     return entries.groupBy("archive").agg(F.sum("length").cast("long").alias("size"))
 
@@ -374,17 +379,20 @@ SURVIVORS = f"""(select archive, seq, ref, length, type from (select *, row_numb
 
 @query(f"select archive, size from {CHOSEN}")
 def compaction_candidates(spark, sf_dir):
-    return objects.candidates(_sizes(Views(spark, sf_dir).meta()), SMALL)
+    e = Views(spark, sf_dir).meta()
+    return objects.candidates(_sizes(e), _small(e))
 
 
 @query(f"select count(*) as n, coalesce(cast(sum(size) as bigint), 0) as size, count(*) > 100 or coalesce(sum(size), 0) >= {SMALL} as run from {CHOSEN}")
 def compaction_trigger(spark, sf_dir):
-    return objects.triggered(objects.candidates(_sizes(Views(spark, sf_dir).meta()), SMALL), SMALL, 100)
+    e = Views(spark, sf_dir).meta()
+    small = _small(e)
+    return objects.triggered(objects.candidates(_sizes(e), small), small, 100)
 
 
 def _survivors(v: Views) -> DataFrame:
     e = v.meta()
-    return objects.survivors(e, objects.candidates(_sizes(e), SMALL))
+    return objects.survivors(e, objects.candidates(_sizes(e), _small(e)))
 
 
 @query(f"select archive, seq, ref, length, type from {SURVIVORS}")
@@ -398,7 +406,7 @@ def compaction_stats(spark, sf_dir):
     v = Views(spark, sf_dir)
     e = v.meta()
     total = lambda df, a, b: df.agg(F.count(F.lit(1)).alias(a), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias(b))
-    inside = total(e.join(objects.candidates(_sizes(e), SMALL).select("archive"), "archive", "left_semi"), "objects", "bytes")
+    inside = total(e.join(objects.candidates(_sizes(e), _small(e)).select("archive"), "archive", "left_semi"), "objects", "bytes")
     return inside.join(F.broadcast(total(_survivors(v), "n", "b"))).select("objects", "bytes", (F.col("objects") - F.col("n")).alias("dropped_objects"), (F.col("bytes") - F.col("b")).alias("dropped_bytes"))
 
 
@@ -475,17 +483,28 @@ def tree_listing(spark, sf_dir):
     return trees.listing(Views(spark, sf_dir).edges()).select("tree_ref", "name", "is_tree")
 
 
+#: The region whose sub-tree the index has already, and what it had indexed there.
+HAD = "(select min(r_name) as r_name, min_by(r_regionkey, r_name) as r_regionkey from region)"
+
+
 @query(f"""with recursive w as (select name as path, is_tree, child_ref as ref from {DEEP} where tree_ref = 'root'
     union all select w.path || '/' || e.name, e.is_tree, e.child_ref from w join {DEEP} e on e.tree_ref = w.ref where w.is_tree)
-    select path, o_orderdate as timestamp, w.ref, cast(1 as bigint) as set_id from w join orders on w.ref = 'o' || o_orderkey where not w.is_tree""")
+    select path, o_orderdate as timestamp, w.ref, cast(1 as bigint) as set_id from w join orders on w.ref = 'o' || o_orderkey where not w.is_tree and not starts_with(path, (select r_name || '/' from {HAD}))
+    union all select r_name || '/kept', timestamp '{NOON}', 'kept', 1 from {HAD}""")
 def index_commit(spark, sf_dir):
-    """The files that indexing one commit adds to an index that has one of its sub-trees: that is skipped with what it had indexed."""
+    """The files of an index that has one of a commit's sub-trees, once the commit is indexed: that sub-tree isn't entered and keeps what it had; a commit that lacks a sub-tree adds nothing."""
     v = Views(spark, sf_dir)
     empty = lambda kind: spark.createDataFrame([], kind)
-    commits = spark.createDataFrame([("commit1", "root", "all")], "ref string, tree string, set string").withColumn("timestamp", _at(NOON))
-    index = {"sets": empty("id long, name string"), "commits": empty("ref string, timestamp timestamp_ntz, tree string, set_id long"), "trees": empty("ref string, path string, set_id long"), "files": empty("path string, timestamp timestamp_ntz, set_id long, ref string, size long")}
-    stats = v.orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("ref"), F.col("o_orderdate").alias("ts"), F.lit(0).cast("long").alias("size"))
-    once = index_commits(index, commits, v.edges(orders=True), stats)
+    had = v.region.agg(F.min(F.struct("r_name", "r_regionkey")).alias("r")).select("r.*")
+    commits = spark.createDataFrame([("commit1", "root", "all"), ("commit2", "gone", "all")], "ref string, tree string, set string").withColumn("timestamp", _at(NOON))
+    index = {
+        "sets": spark.createDataFrame([(1, "all")], "id long, name string"), "commits": empty("ref string, timestamp timestamp_ntz, tree string, set_id long"),
+        "trees": had.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("ref"), F.col("r_name").alias("path"), F.lit(1).cast("long").alias("set_id")),
+        "files": had.select(F.concat("r_name", F.lit("/kept")).alias("path"), _at(NOON).alias("timestamp"), F.lit(1).cast("long").alias("set_id"), F.lit("kept").alias("ref"), *[F.lit(None).cast(k).alias(c) for c, k in (("mode", "long"), ("user", "string"), ("group", "string"), ("size", "long"))]),
+    }
+    named = v.edges(orders=True).join(v.orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("child_ref"), F.col("o_orderdate").alias("ts")), "child_ref", "left")
+    entries = v.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("tree_ref"))
+    once = index_commits(index, commits, named.unionByName(entries, allowMissingColumns=True))
     return once["files"].select("path", "timestamp", "ref", "set_id")
 
 
@@ -578,13 +597,6 @@ def content_defined_chunks(spark, sf_dir):
     return chunks.content_parts(Views(spark, sf_dir).documents, "doc_id", "text").drop("data")
 
 
-@query("select doc_id, sha1(unhex('22') || unhex(v2) || unhex('0A') || unhex(v1) || encode(text)) as ref from (select doc_id, text, printf('%02X', n) as v1, printf('%02X', n + 2) as v2 from (select doc_id, text, strlen(text) as n from documents) where n between 1 and 125)")
-def blob_refs(spark, sf_dir):
-    """References of short texts as stored blobs."""
-    docs = Views(spark, sf_dir).documents.where("octet_length(text) between 1 and 125")
-    return docs.select("doc_id", F.lower(F.hex(wire.blob_ref(F.col("text").cast("binary")))).alias("ref"))
-
-
 def _varint_sql(n: str) -> str:
     """The varint of a count below 2**35, as hex digits."""
     byte = lambda k, more: f"printf('%02X', (({n}) >> {7 * k}) % 128 + {128 if more else 0})"
@@ -593,7 +605,7 @@ def _varint_sql(n: str) -> str:
 
 
 @query(f"select doc_id, sha1(unhex('22') || unhex({_varint_sql('octet_length(inner_)')}) || inner_) as ref from (select doc_id, case when n = 0 then unhex('') else unhex('0A') || unhex({_varint_sql('n')}) || encode(text) end as inner_ from (select doc_id, text, strlen(text) as n from documents))")
-def blob_refs_whole(spark, sf_dir):
+def blob_refs(spark, sf_dir):
     """References of all texts as stored blobs: empty ones, and of any length."""
     docs = Views(spark, sf_dir).documents
     return docs.select("doc_id", F.lower(F.hex(wire.blob_ref(F.col("text").cast("binary")))).alias("ref"))
@@ -604,10 +616,10 @@ def stream_incremental_index(spark, sf_dir):
     """A stream of events, inserted if absent a micro-batch at a time, ends as the batch form does."""
     import uuid
 
-    from cairn.plans.durable import LOCAL_ROOT
+    from cairn.plans.durable import shared_root
     from cairn.streaming.incremental import indexed_stream
 
-    root = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or LOCAL_ROOT}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     source.select(F.col("event_type").alias("key"), "event_id").repartition(2).sortWithinPartitions("event_id").write.parquet(f"{root}/in")
     arrivals = spark.readStream.schema("key string, event_id long").option("maxFilesPerTrigger", 2).parquet(f"{root}/in")

@@ -60,10 +60,10 @@ def test_wire_round_trip():
         assert wire.read_varint(wire.varint(n), 0) == (n, len(wire.varint(n)))
 
 
-def test_blob_refs_whole_has_every_document(spark, tmp_path):
+def test_blob_refs_has_every_document(spark, tmp_path):
     import __spark_entry__ as entry
 
     texts = ["", "a", "é" * 63, "b" * 125, "b" * 126, "b" * 16383, "b" * 16384, "b" * (1 << 21), None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.ref for r in entry.queries()["blob_refs_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.ref for r in entry.queries()["blob_refs"](spark, str(tmp_path)).collect()}
     assert got == {k: None if t is None else hashlib.sha1(wire.blob_object(t.encode())).hexdigest() for k, t in enumerate(texts)}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import chunks, objects, state, trees, versions
 from cairn.operators.indexing import index_commits
+from cairn.plans.durable import durable
 
 
 def rows(df):
@@ -137,10 +138,27 @@ def test_shared_tree_has_a_path_for_each_place_but_is_marked_once(spark):
 
 
 def test_build_is_undone_by_traverse(spark):
-    files = spark.createDataFrame([("a/b/c", "1"), ("a/d", "2"), ("e", "3"), ("x/b/c", "1")], "path string, ref string")
-    e, root = trees.build(files)
-    assert rows(trees.traverse(e, root).where("not is_tree").select("path", "ref")) == rows(files)
-    assert e.where("name = 'c'").select("tree_ref").distinct().count() == 1
+    files = spark.createDataFrame([("a/b/c", "01", 5), ("a/d", "02", 6), ("e", "03", 7), ("x/b/c", "01", 5)], "path string, ref string, mode long")
+    e, root, objects_ = trees.build(files, spark.createDataFrame([("a",), ("bare",)], "path string"))
+    e = e.cache()
+    got = trees.traverse(e, root)
+    assert rows(got.where("not is_tree").select("path", "ref", "mode")) == rows(files)
+    assert {r.path for r in got.where("is_tree").collect()} == {"a", "a/b", "x", "x/b", "bare"}
+    assert e.where("name = 'c'").select("tree_ref").distinct().count() == 1  # equal trees are one
+    assert objects_.count() == 5 and trees.build(files.limit(0))[1].count() == 1
+    # what is known of a file is in its folders' references
+    touched = trees.build(files.withColumn("mode", F.when(F.col("path") == "x/b/c", 9).otherwise(F.col("mode"))))[0]
+    refs = lambda edges: {r.name: r.child_ref for r in edges.where("is_tree and name in ('a', 'x')").collect()}
+    old, new = refs(trees.build(files)[0]), refs(touched)
+    assert old["a"] == new["a"] and old["x"] != new["x"]
+
+
+def test_traverse_goes_on_or_fails(spark):
+    deep = spark.createDataFrame([(f"t{k}", "d", True, f"t{k + 1}") for k in range(12)], "tree_ref string, name string, is_tree boolean, child_ref string")
+    roots = spark.createDataFrame([("t0",)], "ref string")
+    assert trees.traverse(deep, roots, max_depth=12).count() == 12
+    with pytest.raises(ValueError):
+        trees.traverse(deep, roots, max_depth=11)
 
 
 def test_mark_and_sweep_random(spark):
@@ -199,13 +217,58 @@ def test_seek(spark):
     assert [at(3, "start"), at(2, "current", 4), at(0, "end"), at(11, "start"), at(-1, "start"), at(10, "start")] == [3, 6, 9, None, None, 10]
 
 
+FILES = "path string, timestamp timestamp, set_id long, ref string, mode long, user string, group string, size long"
+
+
 def test_indexing_is_idempotent_and_skips_known_trees_by_set(spark, edges):
     empty = lambda kind: spark.createDataFrame([], kind)
-    index = {"sets": empty("id long, name string"), "commits": empty("ref string, timestamp timestamp, tree string, set_id long"), "trees": empty("ref string, path string, set_id long"), "files": empty("path string, timestamp timestamp, set_id long, ref string, size long")}
+    index = {"sets": empty("id long, name string"), "commits": empty("ref string, timestamp timestamp, tree string, set_id long"), "trees": empty("ref string, path string, set_id long"), "files": empty(FILES)}
     commits = spark.createDataFrame([("c1", "root", "a")], "ref string, tree string, set string").withColumn("timestamp", F.timestamp_seconds(F.lit(5)))
-    stats = spark.createDataFrame([("test.file1", 1), ("test.file2", 2)], "ref string, size long").withColumn("ts", F.timestamp_seconds(F.col("size")))
-    once = index_commits(index, commits, edges, stats)
-    assert [r.path for r in once["files"].orderBy("path").collect()] == ["test.dir/test.file2", "test.file1"]
-    assert {k: v.count() for k, v in index_commits(once, commits, edges, stats).items()} == {k: v.count() for k, v in once.items()}
+    edges = edges.withColumn("ts", F.timestamp_seconds(F.when(F.col("name") == "test.file1", 1).otherwise(2)))
+    written = lambda tables: {k: durable(v) for k, v in tables.items()}
+    edges = durable(edges)
+    once = written(index_commits(index, commits, edges))
+    assert [(r.path, int(r.timestamp.timestamp())) for r in once["files"].orderBy("path").collect()] == [("test.dir/test.file2", 2), ("test.file1", 1)]
+    assert {k: v.count() for k, v in index_commits(once, commits, edges).items()} == {k: v.count() for k, v in once.items()}
     other = commits.withColumn("set", F.lit("b")).withColumn("ref", F.lit("c2"))
-    assert index_commits(once, other, edges, stats)["files"].count() == 4
+    assert index_commits(once, other, edges)["files"].count() == 4
+    # a commit that lacks a sub-tree is left out, and indexed once that is there
+    lacking = written(index_commits(index, commits, edges.where("tree_ref <> 'test.dir'")))
+    assert lacking["commits"].count() == lacking["files"].count() == 0
+    assert index_commits(lacking, commits, edges)["files"].count() == 2
+
+
+def test_retention_keeps_what_has_no_set(spark):
+    df = ntz(spark, [(None, "2024-01-02 05:00:00", 1), (None, "2024-01-04 05:00:00", 2), ("s", "2024-01-04 05:00:00", 3), ("s", None, 4)], "set string, ts string, ref long")
+    assert sorted(r.ref for r in versions.retained(df, "set", "ts", F.to_timestamp_ntz(F.lit(ANCHOR))).collect()) == [1, 3, 4]
+
+
+@pytest.mark.parametrize("size", [1, 63, 64, 65, 1000])
+def test_chunks_of_blocks_are_those_of_the_whole(size):
+    data = random.Random(2).randbytes(60_000)
+    blocks = [data[k : k + size] for k in range(0, len(data), size)]
+    assert list(chunks.cuts(iter(blocks), 4096)) == chunks.boundaries(data, 4096)
+    got = list(chunks.pieces(iter(blocks), 4096))
+    assert b"".join(d for _, d in got) == data and [at for at, _ in got] == [0, *chunks.boundaries(data, 4096)[:-1]]
+
+
+def test_streams(spark, tmp_path):
+    """First seen and counts in windows, over a stream that ends."""
+    from cairn.streaming import incremental
+
+    rows = [(f"k{n % 3}", f"2024-01-01 00:0{n % 5}:00", n) for n in range(30)]
+    spark.createDataFrame(rows, "key string, ts string, n long").selectExpr("key", "cast(ts as timestamp) ts", "n").write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("key string, ts timestamp, n long").parquet(str(tmp_path / "in"))
+
+    def run(df, name, mode):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    assert rows_of(run(incremental.first_seen(stream(), "key", "ts", "1 hour"), "seen", "append").select("key")) == [("k0",), ("k1",), ("k2",)]
+    got = run(incremental.measured(stream(), "ts", "key", "5 minutes", "1 hour"), "measured", "complete")
+    assert rows_of(got.select("key", "count")) == [("k0", 10), ("k1", 10), ("k2", 10)]
+    assert incremental.walked(spark.range(5), lambda r: None) == 5
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
