@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from cairn.llm.components import components
-from cairn.llm.store import pick, stored, table
+from cairn.llm.store import maybe_broadcast, pick, spread_join, stored, table
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
 PIECE = 1 << 15
@@ -56,12 +56,12 @@ def fingerprint(text: bytes | None) -> int:
 def _fingerprints(batches):
     for b in batches:
         got = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
-        yield pa.record_batch([b.column("doc_id"), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+        yield pa.record_batch([b.column("doc_id"), b.column("h"), pa.array(got.view(np.int64))], ["doc_id", "h", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
-    return pick(docs, doc_id="long", text="string").select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, h (of the text), fp (the 64 bits as a long)."""
+    return pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, h long, fp long")
 
 
 def _bit_pairs(batches):
@@ -258,20 +258,36 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = 4096) -> DataFram
     return edges
 
 
+def grouped(docs: DataFrame, radius: int = RADIUS, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(each, nodes): doc_id, h, fp for each row; fp, group, least for each fingerprint. group: one fingerprint of the component; least: its first row as (no_id, doc_id, h)."""
+    each = stored(fingerprints(docs), "simhash", texts=True)
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    own = stored(each.groupBy("fp").agg(F.min(first).alias("own")), "simhash-nodes")
+    labels = stored(components(links(own, radius, block)).select(F.col("node").alias("fp"), F.col("label").alias("group")), "simhash-labels")
+    nodes = stored(own.join(labels, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"), "own"), "simhash-groups")
+    least = stored(nodes.groupBy("group").agg(F.min("own").alias("least")), "simhash-least")
+    return each, stored(spread_join(nodes, least, "group").select("fp", "group", "least"), "simhash-nodes")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = 4096) -> DataFrame:
     """doc_id, fp, component_id for each row."""
-    each = stored(fingerprints(docs), "simhash", texts=True)
-    nodes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    labels = components(links(nodes, radius, block)).withColumnRenamed("node", "fp")
-    least = labels.join(nodes, "fp").groupBy("label").agg(F.min("least").alias("component"))
-    own = nodes.join(labels.join(least, "label").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return each.join(own, "fp").select("doc_id", "fp", "component_id")
+    each, nodes = grouped(docs, radius, block)
+    return spread_join(each, nodes.select("fp", "least"), "fp").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without those whose component has a smaller id."""
-    drop = near_duplicates(docs).where("doc_id > component_id").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each component: of the rows of least id (null ids come last) one of least text hash.
+
+    A row goes for its own text, not for another row's of its id; of rows that agree in id and text one stays.
+    """
+    each, nodes = grouped(docs)
+    rows = stored(spread_join(each, nodes.select("fp", "least"), "fp").select("doc_id", "h", (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("h") == F.col("least.h"))).alias("first")).groupBy("doc_id", "h", "first").agg(F.count(F.lit(1)).alias("n")), "simhash-rows")
+    is_row = lambda: docs["doc_id"].cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(docs["text"]) == F.col("k"))
+    side = lambda where: maybe_broadcast(rows.where(where).select(F.col("doc_id").alias("d"), F.col("h").alias("k")))
+    if rows.where("first and n > 1").isEmpty():
+        return docs.join(side("not first"), is_row(), "left_anti").select(*docs.columns)
+    once = docs.join(side("not first or n > 1"), is_row(), "left_anti").select(*docs.columns)
+    return once.unionByName(docs.join(side("first and n > 1"), is_row(), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,74 +1,27 @@
-"""Shared-folder tables and size checks that the operators of this subpackage use.
-
-A stage boundary is a Parquet table in the folder that the session names in
-``spark.checkpoint.dir``: it cuts the lineage, survives lost executors, and is
-read again with column pruning.  Tables are removed when the driver ends.
-"""
+"""Size checks, joins and tables that the operators of this subpackage use."""
 
 from __future__ import annotations
 
-import uuid
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where tables go when the session names no shared folder (local mode, tests).
-LOCAL_ROOT = "/tmp/checkpoints"
+from cairn.plans.durable import dropped, durable
+
+__all__ = ["dropped", "maybe_broadcast", "pick", "spread_join", "stored", "table"]
 
 #: Most bytes that an operator broadcasts; beyond it the same join shuffles.
 BROADCAST_BYTES = 8 << 20
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM ends."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_ROOT
-    path = f"{root.rstrip('/')}/cairn/{name}-{uuid.uuid4().hex}"
-    jvm, sc = spark._jvm, spark.sparkContext
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 #: Rows that go to Python at once where rows hold whole texts.
 TEXT_ROWS = 1000
 
 
-@contextmanager
-def settings(spark: SparkSession, **values):
-    """The session with other settings for a while; names have __ for a dot."""
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    try:
-        for k, v in names.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def stored(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
-    """df, written to the shared folder and read again; shuffle files behind it go once it is written.
-
-    texts: rows that go to Python hold whole texts, so fewer go at once.
-    """
-    spark = df.sparkSession
-    path, rows = shared_path(spark, name), int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if texts:
-        rows = min(TEXT_ROWS, rows) if rows > 0 else TEXT_ROWS
-    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=rows, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
-        df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the table of stored() that nothing reads any more."""
-    spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    """df, written to the shared folder and read again. texts: rows that go to Python hold whole texts, so fewer go at once."""
+    if not texts:
+        return durable(df, name)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(df.sparkSession.conf.get(key))
+    return durable(df, name, **{key: min(TEXT_ROWS, rows) if rows > 0 else TEXT_ROWS})
 
 
 def weight(df: DataFrame) -> int:
@@ -83,6 +36,8 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
 
 #: Rows of one key beyond which a join doesn't deal them by the key: a 2**16th of all rows, or this many.
 HOT_ROWS, HOT_KEYS = 64, 1 << 16
+#: Slim rows that one task may hold whatever their keys.
+FEW_ROWS = 1 << 13
 
 
 def spread_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -91,7 +46,10 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner")
     Keys of many rows, of which there are at most HOT_KEYS, have their side broadcast; the others' rows are dealt by key.
     Both tables are read twice, so they are written ones.
     """
-    limit = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    n = rows.count()
+    if n <= FEW_ROWS:
+        return rows.join(side, key, how)
+    limit = max(HOT_ROWS, n // HOT_KEYS)
     hot = stored(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(key), "hot-keys")
     if hot.isEmpty():
         return rows.join(side, key, how)

@@ -6,6 +6,7 @@ import xxhash
 
 from cairn.llm import simhash
 from cairn.llm.components import components
+from cairn.llm.store import stored
 
 
 def slow_fingerprint(text):
@@ -86,6 +87,34 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
 
 
+def test_rounds_grow_with_the_logarithm(spark):
+    """Chains whose numbers ascend are no worse than others: a round leaves about a third of their edges."""
+    seen = []
+    label = {r.label for r in components(spark.range(1024).selectExpr("id as a", "id + 1 as b"), seen).collect()}
+    assert len(label) == 1 and len(seen) <= 9 and all(b < 0.7 * a for a, b in zip(seen, seen[1:], strict=False) if a > 30), seen
+
+
+def test_joins_spread_hot_keys(spark, monkeypatch):
+    """A key that a third of all rows hold, null keys and keys without a side, by both ways."""
+    from cairn.llm import store
+
+    rows = stored(spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 7 when id % 100 = 1 then null else id end as k"), "test")
+    side = stored(spark.range(2000).selectExpr("id as k", "id * 2 as v"), "test")
+    for how in ("inner", "left"):
+        want = sorted(map(str, rows.join(side, "k", how).select("id", "k", "v").collect()))
+        for few in (1 << 13, 0):
+            monkeypatch.setattr(store, "FEW_ROWS", few)
+            assert sorted(map(str, store.spread_join(rows, side, "k", how).select("id", "k", "v").collect())) == want
+
+
+def test_a_row_goes_for_its_own_text(spark):
+    """Rows of one id with other texts are judged apart; of rows that agree in all one stays."""
+    a, b = ("alpha beta gamma delta epsilon zeta eta theta " * 9).strip(), ("one two three four five six seven eight nine ten " * 9).strip()
+    rows = [(1, a), (2, a), (2, b), (3, None), (3, ""), (None, a), (1, a), (5, b + " eleven twelve of its own and no other " * 5)]
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert [g for g in got if g[0] != 3] == sorted([(1, a), (2, b), rows[-1]], key=str) and len(got) == 4
+
+
 def test_keep_one_and_empty(docs, none):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
