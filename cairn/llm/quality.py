@@ -3,13 +3,14 @@
 Statistics of the whole text (shares are log-odds, counts are logs) are
 standardised.  Each class has a Gaussian whose covariance is shrunk towards the
 pooled covariance and towards a multiple of the identity; its Cholesky factor
-is computed once and cached in the model that tasks receive.  A document's
+is computed and inverted once and cached in the model that tasks receive.  A document's
 discriminant is the difference of the classes' log densities, from Mahalanobis
-distances by triangular solution, plus that of the log priors; a logistic curve
+distances by the cached factor's inverse, plus that of the log priors; a logistic curve
 fitted to the learning rows turns it into a score.
 
-Class sums are taken over all learning rows, per task first, so the driver gets
-a fixed number of sums.  Labels, language, source and id aren't inputs.
+It learns from at most ``most`` labelled rows, those of least hashed id, so that
+only these texts are measured to fit it; class sums are taken per task first, so
+the driver gets a fixed number of sums.  Labels, language, source and id aren't inputs.
 
 Defined results: null text is empty text and gets a score; a null ``doc_id``
 learns nothing and isn't held out; repeated rows each count and each get a row;
@@ -34,6 +35,8 @@ D = len(NAMES)
 #: Of a class's covariance: how much gives way, and how much of that to the pooled one.
 SHRINK, POOLED = 0.2, 0.5
 THRESHOLD, HELD_OUT = 0.7, 2
+#: Labelled rows that it learns from, at most.
+MOST = 50_000
 
 _KIND = np.full(256, 3, np.uint8)  # 0 letter, 1 digit, 2 white space, 3 other
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 0
@@ -98,6 +101,7 @@ class Model:
     scale: np.ndarray
     means: list[np.ndarray]
     factors: list[np.ndarray]
+    inverses: list[np.ndarray]
     offset: float
     slope: float = 1.0
     shift: float = 0.0
@@ -105,7 +109,7 @@ class Model:
 
     def discriminant(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.centre) / self.scale
-        d0, d1 = (np.linalg.solve(f, (z - m).T) for f, m in zip(self.factors, self.means, strict=True))
+        d0, d1 = (i @ (z - m).T for i, m in zip(self.inverses, self.means, strict=True))
         return 0.5 * ((d0**2).sum(0) - (d1**2).sum(0)) + self.offset
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -114,11 +118,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.discriminant(x) + self.shift, -500, 500)))
 
 
+def inverse(lower: np.ndarray) -> np.ndarray:
+    """The inverse of a lower triangle, by forward substitution."""
+    out = np.eye(len(lower))
+    for k in range(len(lower)):
+        out[k] = (out[k] - lower[k, :k] @ out[:k]) / lower[k, k]
+    return out
+
+
 def fit_sums(total: np.ndarray, shrink: float = SHRINK, pooled: float = POOLED) -> Model:
     """The model of class sums [class, i, j] of products of (1, statistics)."""
     n = total[:, 0, 0]
     if not n.all():
-        return Model(np.zeros(D), np.ones(D), [], [], 0.0, constant=float(n[1] / n.sum()) if n.sum() else 0.5)
+        return Model(np.zeros(D), np.ones(D), [], [], [], 0.0, constant=float(n[1] / n.sum()) if n.sum() else 0.5)
     both = total.sum(0)
     centre = both[0, 1:] / n.sum()
     scale = np.sqrt(np.maximum(np.diag(both)[1:] / n.sum() - centre**2, 1e-12))
@@ -130,7 +142,7 @@ def fit_sums(total: np.ndarray, shrink: float = SHRINK, pooled: float = POOLED)
         means.append((t[0, 1:] / t[0, 0] - centre) / scale)
         factors.append(np.linalg.cholesky(cov + 1e-9 * np.eye(D)))
     logdet = [np.log(np.diag(f)).sum() for f in factors]
-    return Model(centre, scale, means, factors, float(logdet[0] - logdet[1] + np.log(n[1] / n[0])))
+    return Model(centre, scale, means, factors, [inverse(f) for f in factors], float(logdet[0] - logdet[1] + np.log(n[1] / n[0])))
 
 
 STEP, FAR = 0.25, 60.0
@@ -152,10 +164,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == HELD_OUT
 
 
-def fit(features: DataFrame, labels: DataFrame) -> Model:
-    """The model of all labelled rows of features that aren't held out."""
-    known = pick(labels, doc_id="long", quality="int").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = features.where(~held_out()).join(known, "doc_id")
+def known(labels: DataFrame, most: int = MOST) -> DataFrame:
+    """doc_id, quality of the labelled rows to learn from, most at most: none is held out, and each id has one label."""
+    rows = pick(labels, doc_id="long", quality="int").where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return stored(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "quality-labels")
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
+    """The model of the documents that labels name; their number, and with it what is broadcast, is at most most."""
+    side = F.broadcast(known(labels, most))
+    learn = pick(docs, doc_id="long", text="string").join(side.select("doc_id"), "doc_id", "left_semi")
+    rows = stored(measured(learn), "quality-learning", texts=True).join(side, "doc_id")
     total = np.zeros((2, D + 1, D + 1))
     for r in rows.mapInArrow(_sums, "c long, i long, j long, s double").groupBy("c", "i", "j").agg(F.sum("s").alias("s")).collect():
         total[r.c, r.i, r.j] = r.s
@@ -174,19 +193,20 @@ def fit(features: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
-    features = stored(measured(docs), "quality-statistics", texts=True)
-    model = fit(features, labels)
+    model = fit(docs, labels)
 
     def score(batches):
         for b in batches:
-            yield pa.record_batch([b.column("doc_id"), pa.array(model.score(matrix(b)))], ["doc_id", "score"])
+            x = np.array([statistics(t) for t in b.column("text").to_pylist()], float).reshape(-1, D)
+            yield pa.record_batch([b.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
-    return features.mapInArrow(score, "doc_id long, score double").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    got = pick(docs, doc_id="long", text="string").select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(score, "doc_id long, score double")
+    return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are predicted to be of quality, with their columns."""
-    model = fit(stored(measured(docs), "quality-statistics", texts=True), labels)
+    model = fit(docs, labels)
 
     def measure(text: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array([statistics(t) for t in text], float).reshape(-1, D)))
