@@ -13,8 +13,9 @@ The windows, one after another, are cut into sequences; the last one's rest is
 cut into powers of two, so nothing is padded.
 
 Defined results: null text is empty text, whose one token is the end; a null
-source is a queue of its own; sources beyond the ``max_queues`` that hold most
-tokens share queues; repeated rows and a null ``doc_id`` are documents like any
+source is a queue of its own; every source that targets name has a queue, and
+of the others those that hold most tokens, ``max_queues`` in all; the rest share
+one queue, over which each of them is spread evenly, document by document; repeated rows and a null ``doc_id`` are documents like any
 other; an empty table gives no rows; further columns are ignored.
 """
 
@@ -245,27 +246,52 @@ def pieces(totals: list[int], window: int, length: int, targets: list[Fraction]
     return run
 
 
+#: Documents that are ordered together, about.
+TOGETHER_ROWS = 10_000
+
+
+def interleaved(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """rows (source, first in it, n and more) with first in one queue of all their sources: every source's documents are spread evenly over it.
+
+    A document's place is how far into its source it stands, from 0 to 1; a source's start is by its hash, so that many sources of
+    one document are spread too. Any stretch of the queue holds the sources by their totals (source, n), but for whole documents.
+    """
+    side = totals.select(F.col("source").alias("s"), F.col("n").alias("total"))
+    start = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    placed = rows.join(maybe_broadcast(side), F.col("source").eqNullSafe(F.col("s"))).withColumn("far", (F.col("first") + start * F.col("n")) / F.col("total"))
+    n = max(1, rows.count() // TOGETHER_ROWS)
+    placed = placed.withColumn("bin", F.least(F.floor(F.col("far") * n), F.lit(n - 1)).cast("long"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = placed.groupBy("bin").agg(F.sum("n").alias("n")).select("bin", before(Window.orderBy("bin")).alias("base"))
+    inner = before(Window.partitionBy("bin").orderBy("far", "source", "first"))
+    return placed.withColumn("inner", inner).join(maybe_broadcast(stored(bins, "packing-bins")), "bin").withColumn("first", F.col("base") + F.col("inner")).drop("base", "inner", "bin", "far", "s", "total")
+
+
 def packed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, targets: dict[str, float] | None = None, max_queues: int = MAX_QUEUES, vocabulary: str | None = None) -> DataFrame:
     """PIECES for every document. targets: wanted shares by source; a source that isn't named has what would be its natural one."""
     rows = pick(docs, source="string", doc_id="long", text="string")
     ids = stored(rows.mapInArrow(tokens(vocabulary or vocabulary_path()), "source string, part long, before long, doc_id long, n long, ids binary"), "packing-ids", texts=True)
     sums = stored(ids.groupBy("source", "part").agg(F.sum("n").alias("n")), "packing-sums")
-    top = [r.source for r in sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(max_queues).collect()]
-    named = {s: q for q, s in enumerate(top)}
-    queue = F.lit(len(top))  # the rest, in order of source
-    for s, q in named.items():
-        queue = F.when(F.col("source").eqNullSafe(F.lit(s)), q).otherwise(queue)
-    by_queue = sums.withColumn("queue", queue)
-    totals = [0] * (len(top) + 1)
-    for r in by_queue.groupBy("queue").agg(F.sum("n").alias("n")).collect():
-        totals[r.queue] = r.n
-    own = Window.partitionBy("queue", "source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_queue.where(F.col("queue") == len(top)).groupBy("queue", "source").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("source").alias("rest"), "base")
-    first = by_queue.withColumn("earlier", F.coalesce(F.sum("n").over(own), F.lit(0))).join(rest, F.col("source").eqNullSafe(F.col("rest")) & (F.col("queue") == len(top)), "left").select("queue", F.col("source").alias("s"), F.col("part").alias("p"), (F.col("earlier") + F.coalesce("base", F.lit(0))).alias("earlier"))
-    first = stored(first, "packing-first")
-    joined = ids.join(maybe_broadcast(first), F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("queue", (F.col("earlier") + F.col("before")).alias("first"), "doc_id", "n", "ids")
+    by_source = stored(sums.groupBy("source").agg(F.sum("n").alias("n")), "packing-sources")
+    wanted = list(targets or {})
+    named = by_source.where(F.col("source").isin(wanted)).collect() if wanted else []
+    largest = by_source.where(~F.coalesce(F.col("source").isin(wanted), F.lit(False))).orderBy(F.desc("n"), "source").limit(max(0, max_queues - len(named))).collect()
+    top = [*named, *largest]
+    totals = [r.n for r in top] + [0]
+    queue = F.lit(len(top))
+    for q, r in enumerate(top):
+        queue = F.when(F.col("source").eqNullSafe(F.lit(r.source)), q).otherwise(queue)
+    own = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = stored(sums.select(queue.alias("queue"), F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(own), F.lit(0)).alias("earlier")), "packing-first")
+    joined = ids.join(maybe_broadcast(first), F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("queue", "source", (F.col("earlier") + F.col("before")).alias("first"), "doc_id", "n", "ids")
+    others = by_source.where(queue == len(top))
+    totals[-1] = others.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if totals[-1]:
+        rest = interleaved(joined.where(F.col("queue") == len(top)), others).select(*joined.columns)
+        joined = joined.where(F.col("queue") < len(top)).unionByName(rest)
+    joined = joined.drop("source")
     whole = sum(totals) or 1
-    shares = None if targets is None else [Fraction(targets.get(s, totals[q] / whole)).limit_denominator(10**6) for q, s in enumerate([*top, None])]
+    shares = None if targets is None else [Fraction(targets.get(s, totals[q] / whole)).limit_denominator(10**6) for q, s in enumerate([*[r.source for r in top], None])]
     return joined.mapInArrow(pieces(totals, window, length, shares), PIECES)
 
 

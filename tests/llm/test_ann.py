@@ -39,6 +39,23 @@ def test_recall_order_and_scores(spark, data, block):
     assert hit >= 0.9 * 10 * len(want)
 
 
+def test_large_leaves_get_trees_of_their_own(spark, data):
+    """A small sample bounds the first tree's leaves, which are split until none is large; recall and whole results hold."""
+    df = spark.createDataFrame([(k, [float(y) for y in v]) for k, v in enumerate(data)] + [(20, [float(y) for y in data[20]])] * 5, "vec_id long, embedding array<double>").repartition(3)
+    got: dict = {}
+    for r in ann.search(df, k=10, sample=40, leaf=12, block=30).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    want = exact(data, 10)
+    assert set(got) == set(want)
+    hit = 0
+    for q, found in got.items():
+        mine = [found[k] for k in sorted(found)]
+        assert len(mine) == 10 and mine == sorted(mine, key=lambda m: (-m[1], m[0])) and q not in dict(mine)
+        assert all(abs(s - data[q] @ data[j]) < 1e-9 for j, s in mine)
+        hit += len({j for j, _ in mine} & {j for j, _ in want[q]})
+    assert hit >= 0.9 * 10 * len(want)
+
+
 def test_small_leaves_are_made_up_for(spark, data):
     """Queries get k rows though one visit is enough for the recall asked for; a query's own repeats don't count."""
     rows = [(k, [float(y) for y in v]) for k, v in enumerate(data)]

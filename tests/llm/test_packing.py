@@ -71,3 +71,29 @@ def test_ranks_give_the_same_ids(spark):
     assert words.ranks is not None
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     assert words(texts) == [x.tobytes() for x in words.encoded(texts)]
+
+
+def test_sources_of_the_shared_queue_are_mixed(spark):
+    """Of ten sources two have queues; the others' documents are spread over all of the shared one by their totals."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(s * 1000 + k, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randrange(5, 40))), f"s{s}") for s in range(10) for k in range(30 * (s + 1))]
+    rows += [(90_000 + k, "one document alone", f"t{k}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = packing.packed(df, length=256, window=1024, targets={"s0": 0.3}, max_queues=2).collect()
+    of, total = {r[0]: r[2] for r in rows}, sum(r.length for r in got)
+    spread, sizes = {}, {}
+    for r in got:
+        sizes[of[r.doc_id]] = sizes.get(of[r.doc_id], 0) + r.length
+        spread.setdefault(of[r.doc_id], []).append((r.sequence_id, r.length))
+    assert sum(sizes.values()) == total
+    # s0 is named: it holds 0.3 of the windows until it ends
+    early = [r for r in got if r.sequence_id < 4]
+    assert abs(sum(r.length for r in early if of[r.doc_id] == "s0") / 1024 - 0.3) < 0.01
+    last = max(r.sequence_id for r in got)
+    for s in range(1, 9):  # s9 is the largest: it has the other queue
+        halves = [sum(n for q, n in spread[f"s{s}"] if (q <= last / 2) == first) / sizes[f"s{s}"] for first in (True, False)]
+        assert min(halves) > 0.3, (s, halves)
+    alone = [q for s, v in spread.items() if s[0] == "t" for q, _ in v]
+    assert min(alone) < last * 0.25 and max(alone) > last * 0.75
