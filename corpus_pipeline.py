@@ -1,6 +1,14 @@
 """The corpus pipeline: from documents to packed training sequences.
 
-Every stage but the last returns the columns of documents.
+Every stage but the last returns the columns of documents, as they are but for
+the text that the secret stage masks and the n_chars that follows it.
+
+Defined results: a null text is empty text to every stage and stays null; a null
+doc_id is a document like any other, the last of its group of near copies;
+repeated rows are copies of each other, of which one stays; rows that share an
+id but not a text are documents of their own; ties in a group go to the least
+id, then to the least hash of the text; texts of any length are read whole;
+further columns are kept, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the text give way to a mark; n_chars follows the text."""
     masked = secrets.redacted(docs)
-    return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long"))) if "n_chars" in docs.columns else masked
+    return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length(F.coalesce("text", F.lit(""))).cast("long"))) if "n_chars" in docs.columns else masked
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
