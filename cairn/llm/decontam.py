@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.store import maybe_broadcast, pick, stored, table
+from cairn.llm.store import fresh, maybe_broadcast, pick, stored, table
 
 # What separates words, and the letters that are lowered.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -176,8 +176,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, rarest: in
 def clean(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int = 2) -> DataFrame:
     """docs without the rows that hold a window of an item, with their columns."""
     exact, _ = occurrences(docs, items, width, rarest, slop=0)
-    bad = stored(exact.select(F.col("doc_id").alias("bad_id"), F.col("h").alias("bad_h")), "decontam-found")
-    return docs.join(maybe_broadcast(bad), docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_h")), "left_anti")
+    d, k = fresh(docs, "d", "k")
+    bad = stored(exact.select(F.col("doc_id").alias(d), F.col("h").alias(k)), "decontam-found")
+    return docs.join(maybe_broadcast(bad), docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(k)), "left_anti")
 
 
 def op6_decontam(spark, sf_dir: str) -> DataFrame:

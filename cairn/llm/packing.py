@@ -268,7 +268,7 @@ def interleaved(rows: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, targets: dict[str, float] | None = None, max_queues: int = MAX_QUEUES, vocabulary: str | None = None) -> DataFrame:
-    """PIECES for every document. targets: wanted shares by source; a source that isn't named has what would be its natural one."""
+    """PIECES for every document. targets: wanted shares by source; what they leave goes to the others, by what they hold."""
     rows = pick(docs, source="string", doc_id="long", text="string")
     ids = stored(rows.mapInArrow(tokens(vocabulary or vocabulary_path()), "source string, part long, before long, doc_id long, n long, ids binary"), "packing-ids", texts=True)
     sums = stored(ids.groupBy("source", "part").agg(F.sum("n").alias("n")), "packing-sums")
@@ -290,8 +290,13 @@ def packed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, targets:
         rest = interleaved(joined.where(F.col("queue") == len(top)), others).select(*joined.columns)
         joined = joined.where(F.col("queue") < len(top)).unionByName(rest)
     joined = joined.drop("source")
-    whole = sum(totals) or 1
-    shares = None if targets is None else [Fraction(targets.get(s, totals[q] / whole)).limit_denominator(10**6) for q, s in enumerate([*[r.source for r in top], None])]
+    shares = None
+    if targets is not None:
+        names = [*[r.source for r in top], None][: len(totals)]
+        is_named = [q < len(top) and s in targets for q, s in enumerate(names)]
+        left = max(0, 1 - sum(Fraction(targets[s]).limit_denominator(10**6) for s, yes in zip(names, is_named, strict=True) if yes))
+        others = sum(t for t, yes in zip(totals, is_named, strict=True) if not yes) or 1
+        shares = [Fraction(targets[s]).limit_denominator(10**6) if yes else left * Fraction(t, others) for s, t, yes in zip(names, totals, is_named, strict=True)]
     return joined.mapInArrow(pieces(totals, window, length, shares), PIECES)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from cairn.llm.components import components
-from cairn.llm.store import maybe_broadcast, pick, spread_join, stored, table
+from cairn.llm.store import fresh, maybe_broadcast, pick, spread_join, stored, table
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
 PIECE = 1 << 15
@@ -282,8 +282,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     each, nodes = grouped(docs)
     rows = stored(spread_join(each, nodes.select("fp", "least"), "fp").select("doc_id", "h", (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("h") == F.col("least.h"))).alias("first")).groupBy("doc_id", "h", "first").agg(F.count(F.lit(1)).alias("n")), "simhash-rows")
-    is_row = lambda: docs["doc_id"].cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(docs["text"]) == F.col("k"))
-    side = lambda where: maybe_broadcast(rows.where(where).select(F.col("doc_id").alias("d"), F.col("h").alias("k")))
+    d, k = fresh(docs, "d", "k")
+    is_row = lambda: docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(k))
+    side = lambda where: maybe_broadcast(rows.where(where).select(F.col("doc_id").alias(d), F.col("h").alias(k)))
     if rows.where("first and n > 1").isEmpty():
         return docs.join(side("not first"), is_row(), "left_anti").select(*docs.columns)
     once = docs.join(side("not first or n > 1"), is_row(), "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.plans.durable import dropped, durable
 
-__all__ = ["dropped", "maybe_broadcast", "pick", "spread_join", "stored", "table"]
+__all__ = ["dropped", "fresh", "maybe_broadcast", "pick", "spread_join", "stored", "table"]
 
 #: Most bytes that an operator broadcasts; beyond it the same join shuffles.
 BROADCAST_BYTES = 8 << 20
@@ -61,6 +61,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no column of that name."""
+    have = {c.lower() for c in df.columns}
+    return [next(x for x in (n + "_" * k for k in range(len(have) + 1)) if x not in have) for n in names]
+
+
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast; a column that is absent is null."""
     have = {c.lower(): c for c in df.columns}
