@@ -8,12 +8,18 @@ big-endian. Magic and file suffixes are the caller's.
 
 from __future__ import annotations
 
+import itertools
+import os
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import wire
+from cairn.operators.objects import repack
+from cairn.plans.durable import durable
 
 RECORD = np.dtype([("ref", "S20"), ("offset", ">u4"), ("length", ">u4"), ("type", ">u4")])
 LEAST_RECORD = 10  # a shorter rest ends the archive
@@ -32,15 +38,16 @@ def parsed_header(data: bytes) -> dict:
     return {"ref": ref(1), "predecessor": ref(2), "size": got.get(3, 0), "compression": got.get(4, 0), "seconds": stamp.get(1, 0), "nanos": stamp.get(2, 0), "type": got.get(6, 0), "tombstone_for": ref(7)}
 
 
+def record(ref: bytes, predecessor: bytes, type_: int, data: bytes, seconds: int) -> bytes:
+    payload = wire.packed(data) if data else b""
+    h = header(ref, predecessor, len(payload), 1, seconds, 0, type_)
+    return wire.varint(len(h)) + h + payload
+
+
 def archive_bytes(objects: list[tuple[bytes, int, bytes, int]]) -> bytes:
     """An archive of (ref, type, object, seconds); an empty object has no payload."""
-    out, before = [], b""
-    for ref, type_, data, seconds in objects:
-        payload = wire.packed(data) if data else b""
-        h = header(ref, before, len(payload), 1, seconds, 0, type_)
-        out.append(wire.varint(len(h)) + h + payload)
-        before = ref
-    return b"".join(out)
+    before = [b"", *[o[0] for o in objects]]
+    return b"".join(record(ref, p, type_, data, seconds) for p, (ref, type_, data, seconds) in zip(before, objects, strict=False))
 
 
 def records(data: bytes):
@@ -57,10 +64,10 @@ def records(data: bytes):
 ENTRIES = "archive string, seq long, ref binary, predecessor binary, size long, compression int, seconds long, nanos int, type int, tombstone_for binary, offset long, length long, payload binary"
 
 
-def read_archives(spark: SparkSession, path: str, suffix: str, types: list[int] | None = None, load: bool = True) -> DataFrame:
-    """Entries of all archives in a folder, one task's work per file. Payloads of types that aren't asked for (or without load) are null."""
+def read_archives(spark: SparkSession, path: str, suffix: str, types: list[int] | None = None, load: bool = True, only: list[str] | None = None) -> DataFrame:
+    """Entries of all archives in a folder (or only those of these names), one task's work per file. Payloads of types that aren't asked for (or without load) are null."""
     names = [f.split()[0] for f in ENTRIES.split(", ")]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path if only is None else [f"{path.rstrip('/')}/{n}{suffix}" for n in only])
 
     def scan(batches):
         for b in batches:
@@ -96,14 +103,19 @@ def parsed_index(data: bytes, magic: bytes) -> list[tuple[bytes, int, int, int]]
     return [(raw[k, :20].tobytes(), int(r["offset"]), int(r["length"]), int(r["type"])) for k, r in enumerate(table)]
 
 
-def read_indexes(spark: SparkSession, path: str, suffix: str, magic: bytes) -> DataFrame:
-    """archive, ref, offset, length, type of all index files in a folder."""
+def read_indexes(spark: SparkSession, path: str, suffix: str, magic: bytes, strict: bool = True) -> DataFrame:
+    """archive, ref, offset, length, type of all index files in a folder. A file that isn't an index is an error, or (not strict) has no rows."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
 
     def scan(batches):
         for b in batches:
             for where, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                rows = parsed_index(data.as_py(), magic)
+                try:
+                    rows = parsed_index(data.as_py(), magic)
+                except ValueError:
+                    if strict:
+                        raise
+                    continue
                 if rows:
                     ref, offset, length, type_ = zip(*rows, strict=True)
                     yield pa.record_batch([pa.array([where.rsplit("/", 1)[-1].removesuffix(suffix)] * len(rows)), pa.array(ref, pa.binary()), pa.array(offset, pa.int64()), pa.array(length, pa.int64()), pa.array(type_, pa.int32())], ["archive", "ref", "offset", "length", "type"])
@@ -113,3 +125,63 @@ def read_indexes(spark: SparkSession, path: str, suffix: str, magic: bytes) -> D
 
 def list_files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length")
+
+
+def _groups(rows, *key: str):
+    return itertools.groupby(rows, key=lambda r: tuple(r[k] for k in key))
+
+
+def _replaced(path: str, parts) -> None:
+    """Writes a file beside its place and moves it there whole, so that a task that is run again does no harm."""
+    beside = f"{path}.{uuid.uuid4().hex}"
+    with open(beside, "wb") as f:
+        f.writelines(parts)
+    os.replace(beside, path)
+
+
+def write_indexes(locations: DataFrame, base: str, suffix: str, magic: bytes) -> None:
+    """An index file for each archive of locations (archive, ref, offset, length, type), below a folder that all executors share."""
+
+    def write(rows) -> None:
+        for (name,), own in _groups(rows, "archive"):
+            _replaced(f"{base}/{name}{suffix}", [index_bytes([(bytes(r.ref), r.offset, r.length, r.type) for r in own], magic)])
+
+    locations.select("archive", "ref", "offset", "length", "type").repartition("archive").sortWithinPartitions("archive").foreachPartition(write)
+
+
+def write_archives(objects: DataFrame, base: str, suffix: str, max_size: int, writers: int = 4) -> None:
+    """Archives of objects (ref, type, payload: the object, seconds) below a folder that all executors share; each writer rolls to a new one once max_size is reached.
+
+    An archive is written by one task, an object at a time.
+    """
+    rows = durable(objects.select("ref", "type", "payload", "seconds").dropDuplicates(["ref"]).withColumn("writer", F.pmod(F.xxhash64("ref"), F.lit(writers)).cast("int")), "packing")
+    slim = rows.select("writer", F.lit("").alias("archive"), F.xxhash64("ref").alias("seq"), F.hex("ref").alias("ref"), F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long").alias("length"))
+    placed = repack(slim, max_size).select(F.unhex("ref").alias("ref"), "volume")
+    run = uuid.uuid4().hex
+
+    def write(part) -> None:
+        for (writer, volume), own in _groups(part, "writer", "volume"):
+
+            def parts(own=own):
+                before = b""
+                for r in own:
+                    yield record(bytes(r.ref), before, r.type, bytes(r.payload or b""), r.seconds)
+                    before = bytes(r.ref)
+
+            _replaced(f"{base}/{run}-{writer}-{volume}{suffix}", parts())
+
+    rows.join(placed, "ref").repartition("writer", "volume").sortWithinPartitions("writer", "volume", "ref").foreachPartition(write)
+
+
+def recovered(spark: SparkSession, base: str, suffix: str, index_suffix: str, magic: bytes, write: bool = True) -> DataFrame:
+    """The locations of all archives in a folder: from their index files, and of archives whose index is missing or broken from their headers; write: these get an index file."""
+    known = read_indexes(spark, base, index_suffix, magic, strict=False)
+    names = list_files(spark, base, suffix).select(F.substring("name", F.lit(1), F.length("name") - len(suffix)).alias("archive"))
+    lost = [r.archive for r in names.join(known.select("archive"), "archive", "left_anti").collect()]
+    if not lost:
+        return known
+    rebuilt = durable(locations(read_archives(spark, base, suffix, load=False, only=lost)), "rebuilt")
+    known = durable(known, "known")
+    if write:
+        write_indexes(rebuilt, base, index_suffix, magic)
+    return known.unionByName(rebuilt)

@@ -11,8 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from cairn.operators.state import insert_if_absent
 
 
-def indexed_stream(arrivals: DataFrame, key: list[str], read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], checkpoint: str, *order: str) -> StreamingQuery:
-    """Inserts what arrives if its key is absent, a micro-batch at a time; ends when what is there has been read.
+def indexed_stream(arrivals: DataFrame, key: list[str], read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], checkpoint: str, *order: str, every: str | None = None) -> StreamingQuery:
+    """Inserts what arrives if its key is absent, a micro-batch at a time; ends when what is there has been read, or goes on at an interval (every).
 
     write(state, batch) must replace the state of the same batch if it comes again.
     """
@@ -21,7 +21,7 @@ def indexed_stream(arrivals: DataFrame, key: list[str], read: Callable[[], DataF
         old = read()
         write(insert_if_absent(batch.limit(0) if old is None else old, batch, key, *order), number)
 
-    return arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 
 
 def first_seen(arrivals: DataFrame, key: str, ts: str, delay: str) -> DataFrame:

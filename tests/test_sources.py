@@ -35,6 +35,30 @@ def test_archive_round_trip_and_recovery(spark, tmp_path):
     assert none.where("payload is not null").count() == 0 and archives.locations(none).count() == 50
 
 
+def test_archives_are_written_and_indexes_recovered(spark, tmp_path):
+    """Objects written as archives are read back; a missing and a broken index are rebuilt from the headers and written."""
+    rng, base = random.Random(7), str(tmp_path)
+    blobs = [wire.blob_object(rng.randbytes(rng.randrange(1, 4000))) for _ in range(60)]
+    df = spark.createDataFrame([(wire.object_ref(b), BLOB, b, 5) for b in blobs], "ref binary, type int, payload binary, seconds long")
+    archives.write_archives(df.unionByName(df.limit(9)), base, ".pack", 20_000, writers=2)
+    names = sorted(f for f in os.listdir(base) if f.endswith(".pack"))
+    entries = archives.read_archives(spark, base, ".pack").collect()
+    assert len(names) > 4 and sorted(bytes(r.payload) for r in entries) == sorted(blobs)
+    # a writer rolls once its bytes reach the bound, so no archive holds more than that and one object
+    assert all(sum(len(bytes(r.payload)) for r in entries if r.archive + ".pack" == n) < 24_100 for n in names)
+    where = {(r.archive, bytes(r.ref), r.offset, r.length, r.type) for r in entries}
+    found = lambda: {(r.archive, bytes(r.ref), r.offset, r.length, r.type) for r in archives.recovered(spark, base, ".pack", ".idx", MAGIC).collect()}
+    assert found() == where
+    indexes = sorted(f for f in os.listdir(base) if f.endswith(".idx"))
+    assert [f[:-4] for f in indexes] == [f[:-5] for f in names]
+    os.remove(f"{base}/{indexes[0]}")
+    (tmp_path / indexes[1]).write_bytes(b"no index at all")
+    with pytest.raises(Exception, match="not an index"):
+        archives.read_indexes(spark, base, ".idx", MAGIC).collect()
+    assert found() == where
+    assert {(r.archive, bytes(r.ref), r.offset, r.length, r.type) for r in archives.read_indexes(spark, base, ".idx", MAGIC).collect()} == where
+
+
 def tree_of(folder):
     return {os.path.relpath(os.path.join(d, f), folder): open(os.path.join(d, f), "rb").read() for d, _, names in os.walk(folder) for f in names}
 
