@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.store import fresh, maybe_broadcast, pick, stored, table
+from cairn.llm.store import fresh, maybe_broadcast, pick, spread_join, stored, table
 
 # What separates words, and the letters that are lowered.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -76,7 +76,10 @@ def anchors(docs: DataFrame, wins: DataFrame, rarest: int, near: bool = False) -
     Windows with a term that never occurs are gone; if near, they have the rarest of the terms that occur, and are gone if those are too few.
     """
     terms = stored(wins.select(F.explode("win").alias("term")).distinct(), "decontam-terms")
-    each = wins.select("item", "at", "win", F.posexplode("win").alias("o", "term")).join(term_counts(docs, terms), "term", "left")
+    each, counts = wins.select("item", "at", "win", F.posexplode("win").alias("o", "term")), stored(term_counts(docs, terms), "decontam-counts")
+    few = maybe_broadcast(counts)
+    # beyond the broadcast bound a term of very many windows is dealt to all tasks
+    each = each.join(few, "term", "left") if few is not counts else spread_join(stored(each, "decontam-each"), counts, "term", "left")
     some = f"by[0].n > 0 or size(filter(by, x -> x.n > 0)) >= {max(rarest, 2)}" if near else "by[0].n > 0"
     by = each.groupBy("item", "at").agg(F.first("win").alias("win"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "term"))).alias("by"))
     by = by.where(some).withColumn("by", F.expr(f"slice(filter(by, x -> x.n > 0), 1, {rarest})"))
