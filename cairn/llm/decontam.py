@@ -205,12 +205,12 @@ counts as (select term, count(*) as c from tokens where term in (select term fro
 ranks as (select item_id, w, p, o, term, c, row_number() over (partition by item_id, w, p order by c, o) as r, count(*) over (partition by item_id, w, p) as m,
     least(len(w), 10) as size from terms join counts using (term)),
 needs as (select item_id, w, p, o, term, least(m, 2) as n from ranks where r <= 2 and (m = size or m >= 2)),
-at as (select rid, item_id, w, p, o, n, k, k - o as s from needs join tokens using (term)),
+met as (select rid, item_id, w, p, o, n, k, k - o as s from needs join tokens using (term)),
 near as (select rid, count(*) as n_near from (
     select distinct rid, item_id from (
-        select rid, item_id from at where n = 1
+        select rid, item_id from met where n = 1
         union all
-        select x.rid, x.item_id from at x join at y on x.rid = y.rid and x.item_id = y.item_id and x.w = y.w and x.p = y.p and x.o <> y.o and x.k <> y.k and y.s between x.s - 4 and x.s + 4)
+        select x.rid, x.item_id from met x join met y on x.rid = y.rid and x.item_id = y.item_id and x.w = y.w and x.p = y.p and x.o <> y.o and x.k <> y.k and y.s between x.s - 4 and x.s + 4)
     where (rid, item_id) not in (select (rid, item_id) from found)) group by rid),
 items as (select rid, count(*) as n_items, string_agg(item_id, ',' order by item_id) as i from (select distinct rid, item_id from found) group by rid)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(i, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near
