@@ -37,3 +37,36 @@ def test_group_of_a_third_is_cut(spark):
 def test_odd_rows(docs, none):
     assert sum(map(len, shards(docs).values())) == docs.count()
     assert shards(none) == {}
+
+
+def test_splits_match_a_tree_by_sorting(spark):
+    """Each split, from sorted keys instead of histograms, along the dimension that is widest."""
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcé\n ") for _ in range(rng.randrange(1, 400))) for _ in range(300)]
+    texts += [texts[3]] * 9 + ["", None, "x" * 3000]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = [r.asDict() for r in kd_shard.points(docs).collect()]
+    whole = {c: max(1, max(r[c] >> 32 for r in rows) - min(r[c] >> 32 for r in rows)) for c in kd_shard.DIMENSIONS}
+    shard = {}
+
+    def split(own, first, leaves):
+        if leaves == 1 or not own:
+            shard.update({r["doc_id"]: first for r in own})
+            return
+        dim = max(kd_shard.DIMENSIONS, key=lambda c: (max(r[c] >> 32 for r in own) - min(r[c] >> 32 for r in own)) / whole[c])
+        want, below, half = sum(r["size"] for r in own) * (leaves // 2) / leaves, 0, leaves // 2
+        for key in sorted({r[dim] for r in own}):
+            group = sum(r["size"] for r in own if r[dim] == key)
+            if below + group >= want:
+                break
+            below += group
+        cut = key + (want - below > below + group - want)
+        split([r for r in own if r[dim] < cut], first, half)
+        split([r for r in own if r[dim] >= cut], first + half, leaves - half)
+
+    split(rows, 0, 5)
+    for bins in (4096, 7):
+        got = {r.doc_id: r.shard for r in kd_shard.kd_shards(docs, 5, bins=bins, near=0.0, group_share=1e9).collect()}
+        assert got == shard

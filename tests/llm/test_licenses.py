@@ -40,6 +40,51 @@ def test_found_in_noise_with_edits_and_twice(spark):
     assert got[1].coverage == 1.0 and 0.9 < got[2].coverage < 1
 
 
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_edited_templates_are_found_and_hits_are_real():
+    """Templates with edits below the coverage asked for are found among noise; no hit claims more than a common subsequence holds; hits don't overlap."""
+    rng = random.Random(6)
+    lexicon = [f"w{k}" for k in range(40)]
+    known = licenses.Templates(tuple((f"t{n}", " ".join(rng.choice(lexicon) for _ in range(rng.randrange(8, 60)))) for n in range(6)))
+    for _ in range(150):
+        text, planted = [], []
+        for name, t in rng.sample(known.all, rng.randrange(4)):
+            text += [rng.choice([b"n%d" % rng.randrange(9), rng.choice(lexicon).encode()]) for _ in range(rng.randrange(40))]
+            own, lacks = list(t), rng.randrange(int(len(t) * (1 - licenses.COVERAGE) + 1e-9) + 1)
+            for at in sorted(rng.sample(range(1, len(own) - 1), lacks), reverse=True):
+                own[at : at + 1] = rng.choice([[], [b"edited"]])
+            planted.append((len(text), name, lacks))
+            text += own
+        got = known.found(b" ".join(text))
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+        of = dict(known.all)
+        for start, end, name, coverage in got:
+            assert coverage >= licenses.COVERAGE and common(text[start:end], of[name]) >= round(coverage * len(of[name]))
+        for start, name, lacks in planted:
+            if not lacks:
+                assert any(s <= start < e for s, e, _, _ in got), (start, name)
+
+
+def test_many_notices_in_one_text_take_linear_time():
+    import time
+
+    known, took = licenses.Templates(), []
+    for n in (1000, 8000):
+        began = time.process_time()
+        assert len(known.found(b"Released under the MIT License.\nfoo\n" * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.01)
+
+
 def test_every_template_finds_itself(spark):
     known = licenses.Templates()
     for name, text in licenses.TEMPLATES:
