@@ -126,7 +126,6 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int
     """
     docs, items = keyed(docs), numbered(items)
     plan = stored(anchors(docs, windows(items, width), rarest, slop > 0), "decontam-anchors")
-    # text's words stand alone after the split, so that it is done once for each text
     tokens = docs.select(*DOC, F.posexplode(F.concat(words("text"), F.array(F.lit(END)))).alias("pos", "term"))
     postings = stored(tokens.join(maybe_broadcast(posted_terms(plan)), "term").select(*DOC, "pos", F.when(F.size("places") > 0, F.col("places")).alias("places")), "decontam-postings")
     ends = postings.where("places is null").select(*DOC, F.col("pos").cast("long").alias("n_words"))
