@@ -60,10 +60,12 @@ def initial(seed: int = 7) -> dict[str, np.ndarray]:
     return p
 
 
-def numbers(text: bytes | None, known: dict[bytes, int]) -> list[int]:
-    """The words of a text as places in the vocabulary."""
-    get = known.get
-    return [get(w) or zlib.crc32(w) % HASHED + 1 for w in (text or b"").lower().split()]
+def numbers(text: bytes | None, known: dict[bytes, int], others: list[bytes] | None = None) -> list[int]:
+    """The words of a text as places in the vocabulary. others: is given the words that aren't known."""
+    get, words = known.get, (text or b"").lower().split()
+    if others is not None:
+        others += [w for w in words if w not in known]
+    return [get(w) or zlib.crc32(w) % HASHED + 1 for w in words]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -154,13 +156,13 @@ def in_groups(batches, known: dict[bytes, int], most: int = 1 << 16, rest: bool
     pad, docs, sizes, ids, others = [NONE] * REACH, [], [], [NONE] * REACH, []
     for b in batches:
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-            text = text.as_py()
-            got = numbers(text, known)
+            own: list[bytes] | None = [] if rest else None
+            got = numbers(text.as_py(), known, own)
             if docs and len(ids) + len(got) > most:
                 yield docs, sizes, np.array(ids, np.int64), others
                 docs, sizes, ids, others = [], [], [NONE] * REACH, []
             docs.append(doc)
-            others.append([w for w, k in zip((text or b"").lower().split(), got, strict=True) if k <= HASHED] if rest else [])
+            others.append(own or [])
             sizes.append(len(got))
             ids += got
             ids += pad
@@ -243,7 +245,7 @@ def train(rows: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS, mask:
             own, n = {k: v.copy() for k, v in start.items()}, 0
             for _, _, ids, _ in in_groups(batches, known):
                 at, around = windows(ids)
-                order = np.argsort((at + turn) % mask, kind="stable")  # every place, each mask-th one together
+                order = np.argsort(((at + turn) % mask).astype(np.uint16), kind="stable")  # every place, each mask-th one together
                 words, around = ids[at[order]], around[order]
                 for k in range(0, len(words), STEP):
                     learn(own, words[k : k + STEP], around[k : k + STEP], RATE)
@@ -281,7 +283,7 @@ def scored(docs: DataFrame, rounds: int = ROUNDS, mask: int = MASK) -> DataFrame
         for doc, sizes, ids, others in in_groups(batches, every, rest=True):
             own, ids = within[ids], place[ids]
             at, around = windows(ids)
-            got = np.concatenate([np.zeros(0), *[log_probabilities(p, ids[at[k : k + (1 << 16)]], around[k : k + (1 << 16)]).astype(float) for k in range(0, len(at), 1 << 16)]]) + own[at]
+            got = np.concatenate([np.zeros(0), *[log_probabilities(p, ids[at[k : k + (1 << 14)]], around[k : k + (1 << 14)]) for k in range(0, len(at), 1 << 14)]]) + own[at]
             ends = np.cumsum(sizes)
             sums = np.concatenate([[0.0], np.cumsum(got)])
             yield pa.record_batch([pa.array(np.arange(row, row + len(doc))), pa.array(doc, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums[ends] - sums[ends - sizes]), pa.array(others, pa.list_(pa.binary()))], ["row", "doc_id", "n_words", "s", "others"])
