@@ -54,12 +54,16 @@ def vocabulary_path() -> str:
 
 #: White space beside a space belongs with it: such texts are encoded whole.
 TOGETHER = re.compile(r"  |[^\S ] | [^\S ]|^ | $")
+#: White space but spaces and ends of lines: texts that hold none need no pattern.
+RARE = tuple(c for c in map(chr, range(1 << 16)) if c.isspace() and c not in " \n")
 
 
 def together(text: str) -> bool:
     if text.isascii():
         return any(x in text for x in ("  ", " \n", "\n ", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f")) or text[0] == " " or text[-1] == " "
-    return TOGETHER.search(text) is not None
+    if any(x in text for x in ("  ", " \n", "\n ")) or text[0] == " " or text[-1] == " ":
+        return True
+    return any(c in text for c in RARE) and TOGETHER.search(text) is not None
 
 
 # How byte-level vocabularies cut text into words, and the bytes that stand for themselves in their tokens.
@@ -109,19 +113,27 @@ class Words:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, 4 bytes each."""
-        known, out, cut = self.known, [None] * len(texts), {}
+        known, out, cut, got, gaps, wanted = self.known, [None] * len(texts), {}, {}, {}, set()
         for k, t in enumerate(texts):
             if t and not together(t) and not any(s in t for s in self.special):
                 cut[k] = t.split(" ")
-        got = {k: list(map(known.get, w[1:])) for k, w in cut.items()}
-        new = self.fresh(list({x for k, w in cut.items() for x in compress(w[1:], map(not_, got[k]))}))
+        for k, words in cut.items():
+            got[k] = list(map(known.get, words))
+            got[k][0] = b""  # the first word has no space before it
+            gaps[k] = [i for i in compress(range(len(words)), map(not_, got[k])) if i]
+            wanted.update([words[i] for i in gaps[k]])
+        new = self.fresh(list(wanted))
         if len(known) < CACHE:
             known.update(new)
         whole = [k for k in range(len(texts)) if k not in cut]
         for k, ids in zip(whole, self.encoded([texts[k] for k in whole]), strict=True):
             out[k] = ids.tobytes()
         for (k, words), ids in zip(cut.items(), self.encoded([w[0] for w in cut.values()]), strict=True):
-            out[k] = ids.tobytes() + b"".join([g or new[w] for g, w in zip(got[k], words[1:], strict=True)])
+            own = got[k]
+            own[0] = ids.tobytes()
+            for i in gaps[k]:
+                own[i] = new[words[i]]
+            out[k] = b"".join(own)
         return out
 
 

@@ -66,6 +66,25 @@ def test_words_match_whole_texts():
     packing.CACHE = kept
 
 
+def test_pattern_is_for_rare_white_space_only(monkeypatch):
+    """Any white space beside a space is found, and texts without rare white space don't go through the pattern."""
+    space = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    for base in ("ab", "é日"):
+        for c in space:
+            assert all(packing.together(t) for t in (f"{base} {c}{base}", f"{base}{c} {base}", f" {base}", f"{base} "))
+        assert not any(packing.together(f"{base}{c}{base} {base}") for c in ("\n", " "))
+    assert not packing.together("é\xa0é é\té")
+    words, calls = packing.Words(packing.vocabulary_path()), []
+
+    class Pattern:
+        def search(self, text):
+            calls.append(text)
+
+    monkeypatch.setattr(packing, "TOGETHER", Pattern())
+    texts = ["é ñ\nß 日本 語 é ñ", "日本 é", "é"]
+    assert words(texts) == [x.tobytes() for x in words.encoded(texts)] and not calls
+
+
 def test_ranks_give_the_same_ids(spark):
     words = packing.Words(packing.vocabulary_path())
     assert words.ranks is not None
